@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import neardup
+from corpusmill.llm import crosssplit, leakage, neardup, splits
 from corpusmill.operators.components import connected_components
 from corpusmill.session import table
 
@@ -29,4 +29,52 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_groups": p3_groups}
+def _overlap(spark: SparkSession, d: str) -> DataFrame:
+    return crosssplit.overlap(table(spark, d, "human_benchmark_split"), table(spark, d, "silver"), "bench_row_id", "silver_row_id", threshold=0.5, width=3)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark and silver rows with the same uri or texts of similarity of at least 0.5 on word triples."""
+    return _overlap(spark, d).select(F.col("eval_id").alias("bench_row_id"), F.col("train_id").alias("silver_row_id"))
+
+
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    """Overlaps by evaluation split and source."""
+    bench, silver = table(spark, d, "human_benchmark_split"), table(spark, d, "silver")
+    return crosssplit.report(_overlap(spark, d), bench, silver, "bench_row_id", "silver_row_id", "evaluation_split", "source_uri")
+
+
+SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Different spellings of the same outlet."""
+    return splits.same_outlet(table(spark, d, "cleaned_articles"), "source_uri")
+
+
+def p7_split(spark: SparkSession, d: str) -> DataFrame:
+    """A split for every article; no outlet is in two of them."""
+    return splits.split(table(spark, d, "cleaned_articles"), "row_seq", "source_uri", SHARES)
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    """The proportions reached."""
+    return splits.proportions(p7_split(spark, d), SHARES)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and test items that share at least 12 consecutive words."""
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "text").select("doc_id", "item_id")
+
+
+def p8_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the extent of what leaked."""
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "text")
+
+
+def p8_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Every document without the spans it shares with test items."""
+    return leakage.without_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "text")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_groups, p7_found, p7_split, p7_report, p8_found, p8_spans, p8_clean)}

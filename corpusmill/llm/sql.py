@@ -14,3 +14,26 @@ n AS (SELECT row_seq, count(*) AS n FROM s GROUP BY row_seq),
 p AS (SELECT a.row_seq AS a, b.row_seq AS b, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.row_seq < b.row_seq GROUP BY ALL)
 SELECT a AS row_seq_a, b AS row_seq_b FROM p JOIN n x ON x.row_seq = a JOIN n y ON y.row_seq = b WHERE c >= 0.5 * (x.n + y.n - c)
 """
+
+_URI = r"nullif(nullif(nullif(nullif(lower(regexp_replace(uri, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), ''), 'nan'), 'none'), '<na>')"
+
+SQL["p1_found"] = f"""
+WITH e AS (SELECT bench_row_id AS id, {_URI} AS u, {_WORDS.format('article_text')} AS w FROM human_benchmark_split),
+t AS (SELECT silver_row_id AS id, {_URI} AS u, {_WORDS.format('article_text')} AS w FROM silver),
+es AS (SELECT DISTINCT id, hash(w[i], w[i + 1], w[i + 2]) AS h FROM e, unnest(range(1, len(w) - 1)) AS x(i)),
+ts AS (SELECT DISTINCT id, hash(w[i], w[i + 1], w[i + 2]) AS h FROM t, unnest(range(1, len(w) - 1)) AS x(i)),
+en AS (SELECT id, count(*) AS n FROM es GROUP BY id),
+tn AS (SELECT id, count(*) AS n FROM ts GROUP BY id),
+p AS (SELECT es.id AS a, ts.id AS b, count(*) AS c FROM es JOIN ts USING (h) GROUP BY ALL)
+SELECT a AS bench_row_id, b AS silver_row_id FROM p JOIN en ON en.id = a JOIN tn ON tn.id = b WHERE c >= 0.5 * (en.n + tn.n - c)
+UNION
+SELECT e.id, t.id FROM e JOIN t USING (u)
+"""
+
+SQL["p8_found"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, {_WORDS.format('item_text')} AS w FROM eval_items),
+g AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS g FROM i, unnest(range(1, len(w) - 10)) AS x(k)),
+h AS (SELECT doc_id, array_to_string(w[k:k + 11], ' ') AS g FROM d, unnest(range(1, len(w) - 10)) AS x(k))
+SELECT DISTINCT doc_id, item_id FROM g JOIN h USING (g)
+"""
