@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import crosssplit, leakage, neardup, splits
+from corpusmill.llm import crosssplit, leakage, neardup, reading, splits
 from corpusmill.operators.components import connected_components
 from corpusmill.session import table
 
@@ -77,4 +77,20 @@ def p8_clean(spark: SparkSession, d: str) -> DataFrame:
     return leakage.without_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_groups, p7_found, p7_split, p7_report, p8_found, p8_spans, p8_clean)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents at the hardest reading level."""
+    return reading.levels(table(spark, d, "documents"), table(spark, d, "reading_labels")).where("level = 5").select("doc_id")
+
+
+def p10_levels(spark: SparkSession, d: str) -> DataFrame:
+    """The reading level of every document."""
+    return reading.levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+
+
+def p10_profile(spark: SparkSession, d: str) -> DataFrame:
+    """How demanding the texts of each source and language are."""
+    docs = table(spark, d, "documents").withColumn("language", F.lower(F.substring(F.trim("lang"), 1, 2)))
+    return reading.profile(reading.levels(docs, table(spark, d, "reading_labels"), keep=["source", "language"]), ["source", "language"])
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_groups, p7_found, p7_split, p7_report, p8_found, p8_spans, p8_clean, p10_found, p10_levels, p10_profile)}
