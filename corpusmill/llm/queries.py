@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import crosssplit, leakage, neardup, reading, splits
+from corpusmill.llm import crosssplit, leakage, neardup, reading, splits, templates
 from corpusmill.operators.components import connected_components
 from corpusmill.session import table
 
@@ -47,6 +47,21 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that recur in at least 4 articles and a tenth of the articles of their outlet."""
+    return templates.repeated_lines(table(spark, d, "cleaned_articles"), "row_seq", "article_text", "source_uri")
+
+
+def p5_templates(spark: SparkSession, d: str) -> DataFrame:
+    """The repeated lines of each outlet as templates with slots."""
+    return templates.repeated(table(spark, d, "cleaned_articles"), "row_seq", "article_text", "source_uri")
+
+
+def p5_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Every article without the repeated lines of its outlet."""
+    return templates.without_repeated_lines(table(spark, d, "cleaned_articles"), "row_seq", "article_text", "source_uri")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Different spellings of the same outlet."""
     return splits.same_outlet(table(spark, d, "cleaned_articles"), "source_uri")
@@ -93,4 +108,4 @@ def p10_profile(spark: SparkSession, d: str) -> DataFrame:
     return reading.profile(reading.levels(docs, table(spark, d, "reading_labels"), keep=["source", "language"]), ["source", "language"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_groups, p7_found, p7_split, p7_report, p8_found, p8_spans, p8_clean, p10_found, p10_levels, p10_profile)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_groups, p5_found, p5_templates, p5_clean, p7_found, p7_split, p7_report, p8_found, p8_spans, p8_clean, p10_found, p10_levels, p10_profile)}
