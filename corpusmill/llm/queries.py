@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import crosssplit, leakage, neardup, reading, splits, templates
+from corpusmill.llm import crosssplit, encoding, leakage, neardup, reading, splits, templates
 from corpusmill.operators.components import connected_components
 from corpusmill.session import table
 
@@ -47,6 +47,29 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
 
+def _texts(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return {
+        "raw_news": table(spark, d, "raw_news").select("row_seq", F.col("body").alias("text")),
+        "cleaned_articles": table(spark, d, "cleaned_articles").select("row_seq", F.col("article_text").alias("text")),
+    }
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Rows whose text has characters garbled by a wrong encoding."""
+    t = _texts(spark, d)
+    model = encoding.fit(t["raw_news"].union(t["cleaned_articles"]), "text")
+    parts = [encoding.garbled_rows(x, "row_seq", "text", model).select(F.lit(n).alias("tbl"), "row_seq") for n, x in t.items()]
+    return parts[0].union(parts[1])
+
+
+def p4_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Every text, restored where that is possible."""
+    t = _texts(spark, d)
+    model = encoding.fit(t["raw_news"].union(t["cleaned_articles"]), "text")
+    parts = [encoding.restored(x, "row_seq", "text", model).select(F.lit(n).alias("tbl"), "row_seq", "text", "spans", "lost") for n, x in t.items()]
+    return parts[0].union(parts[1])
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Lines that recur in at least 4 articles and a tenth of the articles of their outlet."""
     return templates.repeated_lines(table(spark, d, "cleaned_articles"), "row_seq", "article_text", "source_uri")
@@ -108,4 +131,8 @@ def p10_profile(spark: SparkSession, d: str) -> DataFrame:
     return reading.profile(reading.levels(docs, table(spark, d, "reading_labels"), keep=["source", "language"]), ["source", "language"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_groups, p5_found, p5_templates, p5_clean, p7_found, p7_split, p7_report, p8_found, p8_spans, p8_clean, p10_found, p10_levels, p10_profile)}
+_REGISTERED = (
+    p1_found, p1_report, p3_found, p3_groups, p4_found, p4_restored, p5_found, p5_templates, p5_clean,
+    p7_found, p7_split, p7_report, p8_found, p8_spans, p8_clean, p10_found, p10_levels, p10_profile,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _REGISTERED}
