@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import crosssplit, encoding, leakage, neardup, reading, splits, templates
+from corpusmill.llm import crosssplit, encoding, language, leakage, neardup, reading, splits, templates
 from corpusmill.operators.components import connected_components
 from corpusmill.session import table
 
@@ -44,6 +44,34 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return crosssplit.report(_overlap(spark, d), bench, silver, "bench_row_id", "silver_row_id", "evaluation_split", "source_uri")
 
 
+def _labelled(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    a, t = table(spark, d, "cleaned_articles"), table(spark, d, "documents")
+    return {
+        "cleaned_articles": a.select(F.col("row_seq").alias("row_key"), language.country_language("country").alias("label"), F.col("article_text").alias("text")),
+        "documents": t.select(F.col("doc_id").alias("row_key"), language.code("lang").alias("label"), "text"),
+    }
+
+
+def _languages(spark: SparkSession, d: str):
+    t = _labelled(spark, d)
+    channel = encoding.fit(t["cleaned_articles"].select("text").union(t["documents"].select("text")), "text")
+    return t, language.fit(list(t.values())), channel
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Languages of passages of at least 15 words that are not the labelled one."""
+    t, model, channel = _languages(spark, d)
+    parts = [language.unlabelled(x, "row_key", "text", "label", model, channel).select(F.lit(n).alias("tbl"), "row_key", "lang") for n, x in t.items()]
+    return parts[0].union(parts[1])
+
+
+def p2_languages(spark: SparkSession, d: str) -> DataFrame:
+    """Every text with its languages and passages, each with a confidence."""
+    t, model, channel = _languages(spark, d)
+    parts = [language.infer(x, "row_key", "text", model, channel).select(F.lit(n).alias("tbl"), "*") for n, x in t.items()]
+    return parts[0].union(parts[1])
+
+
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
 
@@ -132,7 +160,7 @@ def p10_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 _REGISTERED = (
-    p1_found, p1_report, p3_found, p3_groups, p4_found, p4_restored, p5_found, p5_templates, p5_clean,
+    p1_found, p1_report, p2_found, p2_languages, p3_found, p3_groups, p4_found, p4_restored, p5_found, p5_templates, p5_clean,
     p7_found, p7_split, p7_report, p8_found, p8_spans, p8_clean, p10_found, p10_levels, p10_profile,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _REGISTERED}
