@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import crosssplit, encoding, language, leakage, neardup, reading, splits, templates
+from corpusmill.llm import crosssplit, encoding, language, leakage, mixing, neardup, reading, splits, templates
 from corpusmill.operators.components import connected_components
 from corpusmill.session import table
 
@@ -143,6 +143,16 @@ def p8_clean(spark: SparkSession, d: str) -> DataFrame:
     return leakage.without_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "text")
 
 
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The chosen documents with their repeats."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares that the sources reach."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents at the hardest reading level."""
     return reading.levels(table(spark, d, "documents"), table(spark, d, "reading_labels")).where("level = 5").select("doc_id")
@@ -161,6 +171,6 @@ def p10_profile(spark: SparkSession, d: str) -> DataFrame:
 
 _REGISTERED = (
     p1_found, p1_report, p2_found, p2_languages, p3_found, p3_groups, p4_found, p4_restored, p5_found, p5_templates, p5_clean,
-    p7_found, p7_split, p7_report, p8_found, p8_spans, p8_clean, p10_found, p10_levels, p10_profile,
+    p7_found, p7_split, p7_report, p8_found, p8_spans, p8_clean, p9_mix, p9_shares, p10_found, p10_levels, p10_profile,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _REGISTERED}
