@@ -3,7 +3,7 @@
 A source that must give more than it has repeats whole documents; what remains is a fractional inclusion
 probability, the same for all documents of a source. The flight phase moves these probabilities through the
 null space of the balancing constraints until they are 0 or 1 but for a few: it runs in blocks of each
-source, at most two documents a block stay undecided, and those of all blocks are decided in rounds that
+source, at most LANDING documents a block stay undecided, and those of all blocks are decided in rounds that
 end in one small landing problem per source.
 """
 
@@ -25,6 +25,8 @@ TOKENIZER = os.environ.get("CORPUSMILL_TOKENIZER", "/opt/tokenizers/byte_bpe_mul
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Documents in a block of the flight phase on average.
 BLOCK = 2000
+#: Documents of a source that the landing phase decides by trying every choice.
+LANDING = 12
 #: Probabilities this near to 0 or 1 are decided.
 _EPS = 1e-9
 
@@ -73,7 +75,7 @@ def token_counts(df: DataFrame, id_col: str, source: str, text: str, tokenizer:
 
 
 def flight(p: np.ndarray, tokens: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Moves inclusion probabilities to 0 or 1, keeping the sums of p and of p * tokens, until at most two are left between."""
+    """Moves inclusion probabilities to 0 or 1, keeping the sums of p and of p * tokens, until at most LANDING are left between."""
     p = p.astype(np.float64).copy()
     a = np.stack([np.ones(len(p)), tokens / max(tokens.mean(), 1.0)]) if len(p) else np.ones((2, 0))
     # roughly from long to short, so that the few that stay undecided are short
@@ -81,7 +83,7 @@ def flight(p: np.ndarray, tokens: np.ndarray, rng: np.random.Generator) -> np.nd
     open_ = [int(i) for i in order if _EPS < p[i] < 1 - _EPS]
     pool, rest = open_[:3], open_[3:]
     rest.reverse()
-    while len(pool) == 3:
+    while len(pool) == 3 and len(pool) + len(rest) > LANDING:
         m = a[:, pool]
         # the null space of two constraints on three units
         u = np.cross(m[0], m[1])
@@ -106,19 +108,14 @@ def flight(p: np.ndarray, tokens: np.ndarray, rng: np.random.Generator) -> np.nd
 
 
 def landing(p: np.ndarray, tokens: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Decides the last two: the choice whose token total is nearest to the one wanted, among those that round the number of documents."""
+    """Decides the last few: the choice whose token total, then whose number of documents, is nearest to the one wanted."""
     p = p.copy()
-    left = [int(i) for i in np.flatnonzero((p > _EPS) & (p < 1 - _EPS))]
-    if not left:
-        return np.round(p)
-    want, number = float((p[left] * tokens[left]).sum()), float(p[left].sum())
-    best = min(
-        (abs(sum(tokens[i] for k, i in enumerate(left) if m >> k & 1) - want), abs(bin(m).count("1") - number), m)
-        for m in range(1 << len(left))
-        if abs(bin(m).count("1") - number) < 1 + _EPS
-    )
-    for k, i in enumerate(left):
-        p[i] = best[2] >> k & 1
+    left = np.flatnonzero((p > _EPS) & (p < 1 - _EPS))
+    if len(left):
+        taken = np.arange(1 << len(left))[:, None] >> np.arange(len(left)) & 1
+        off = np.abs(taken @ tokens[left] - (p[left] * tokens[left]).sum())
+        number = np.abs(taken.sum(axis=1) - p[left].sum())
+        p[left] = taken[np.lexsort((number, off))[0]]
     return np.round(p)
 
 
@@ -190,7 +187,7 @@ def mix(
     done = flown.where(~undecided)
     most = max((b for *_, b in rates), default=1)
     open_ = flown.where(undecided)
-    while most > BLOCK // 4:  # blocks of blocks, each leaving two: the last group stays small
+    while most > BLOCK // 4:  # blocks of blocks, each leaving a few: the last group stays small
         most = -(-most // (BLOCK // 4))
         step = materialise(open_.withColumn("block", F.pmod("block", F.lit(most))).groupBy("source", "block").applyInArrow(decide(False), schema), "flown")
         done, open_ = done.union(step.where(~undecided)), step.where(undecided)
