@@ -62,7 +62,10 @@ def test_flight_keeps_totals():
     assert set(done) <= {0, 1} and abs((done * tokens).sum() - (p * tokens).sum()) < 50
     # chances are those wanted
     draws = np.mean([mixing.landing(mixing.flight(np.full(200, 0.4), tokens[:200], np.random.default_rng(s)), tokens[:200], np.random.default_rng(s)) for s in range(300)], axis=0)
-    assert abs(draws.mean() - 0.4) < 0.01 and draws.min() > 0.25 and draws.max() < 0.55
+    assert abs(draws.mean() - 0.4) < 0.01
+    # the shortest ones are decided by the landing phase, the others by chance
+    by_chance = draws[np.argsort(-tokens[:200])[:150]]
+    assert by_chance.min() > 0.28 and by_chance.max() < 0.52
 
 
 @pytest.fixture(scope="module")
