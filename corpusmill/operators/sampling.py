@@ -34,16 +34,17 @@ def even_quotas(sizes: DataFrame, target: int, by: list[str]) -> DataFrame:
     smaller ones leave. The table of strata is far smaller than that of rows.
     """
     up = Window.orderBy("n", *by)
-    k = F.count("*").over(Window.partitionBy())
-    s = sizes.withColumns({"rank": F.row_number().over(up), "k": k, "below": F.coalesce(F.sum("n").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    one = Window.partitionBy()
+    below = F.coalesce(F.sum("n").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    s = sizes.withColumns({"__rank": F.row_number().over(up), "__all": F.count("*").over(one), "__below": below})
     # this stratum is full if its size is within the even share of what is left for it and the larger ones
-    share = F.floor((F.lit(target) - F.col("below")) / (F.col("k") - F.col("rank") + 1))
-    s = s.withColumn("full", F.col("n") <= share)
-    rest = Window.partitionBy("full").orderBy(*by)
-    s = s.withColumns({"left": F.lit(target) - F.coalesce(F.sum(F.when(F.col("full"), F.col("n"))).over(Window.partitionBy()), F.lit(0)), "open": F.count_if(~F.col("full")).over(Window.partitionBy()), "i": F.row_number().over(rest)})
-    base = F.floor(F.col("left") / F.greatest("open", F.lit(1)))
-    extra = (F.col("i") <= F.col("left") - base * F.col("open")).cast("long")
-    return s.select(*by, "n", F.when(F.col("full"), F.col("n")).otherwise(base + extra).cast("long").alias("quota"))
+    share = F.floor((F.lit(target) - F.col("__below")) / (F.col("__all") - F.col("__rank") + 1))
+    s = s.withColumn("__full", F.col("n") <= share)
+    left = F.lit(target) - F.coalesce(F.sum(F.when(F.col("__full"), F.col("n"))).over(one), F.lit(0))
+    s = s.withColumns({"__left": left, "__open": F.count_if(~F.col("__full")).over(one), "__i": F.row_number().over(Window.partitionBy("__full").orderBy(*by))})
+    base = F.floor(F.col("__left") / F.greatest("__open", F.lit(1)))
+    extra = (F.col("__i") <= F.col("__left") - base * F.col("__open")).cast("long")
+    return s.select(*by, "n", F.when(F.col("__full"), F.col("n")).otherwise(base + extra).cast("long").alias("quota"))
 
 
 def allocated(df: DataFrame, strata: list[str], target: int, id_col: str, seed: str = "s") -> DataFrame:
