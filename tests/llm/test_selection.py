@@ -84,10 +84,10 @@ def test_token_counts_are_those_of_the_tokenizer(tokenizer):
 
 
 def test_mixture_reaches_its_shares(spark, tokenizer, monkeypatch):
-    monkeypatch.setattr(mixing, "BLOCK", 40)
+    monkeypatch.setattr(mixing, "BLOCK", 100)
     r = random.Random(4)
     rows = [(i, ["a", "b", "c", "lost"][min(3, int(r.expovariate(1)))], " ".join(r.choices(["uno", "zwei", "three"], k=r.randint(1, 60))), 0) for i in range(900)]
-    rows += [(2000, "a", None, 0), (2001, "b", "  ", 0), (2002, None, "x y", 0), (None, "a", "x", 0), (2003, "c", "word " * 4000, 0)]
+    rows += [(2000, "a", None, 0), (2001, "b", "  ", 0), (2002, None, "x y", 0), (None, "a", "x", 0), (2003, "c", "word " * 400, 0)]
     d = spark.createDataFrame([*rows, rows[0]], "doc_id long, source string, text string, tokens int")
     targets = [("a", 0.2, 2), ("b", 0.3, 1), ("c", 0.4, 3), ("none", 0.1, 5), (None, 0.5, 1)]
     t = spark.createDataFrame([*targets, targets[0]], "source string, target_share double, max_repeats int")
