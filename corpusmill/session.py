@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,3 +66,27 @@ def _clean() -> None:
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the Parquet tables of a folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+#: Applications whose workers have the package.
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the Python workers, once for each application, so that they need no installation."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(root):
+        folder = tempfile.mkdtemp(prefix="corpusmill-code-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        path = os.path.join(folder, "corpusmill_code.zip")
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            for at, _, files in os.walk(root):
+                for f in files:
+                    if f.endswith(".py"):
+                        p = os.path.join(at, f)
+                        z.write(p, os.path.join("corpusmill", os.path.relpath(p, root)))
+        sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
