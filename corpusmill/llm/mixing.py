@@ -25,6 +25,8 @@ TOKENIZER = os.environ.get("CORPUSMILL_TOKENIZER", "/opt/tokenizers/byte_bpe_mul
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Documents in a block of the flight phase on average.
 BLOCK = 2000
+#: Tasks of the first flight; each takes the blocks that fall to it one after the other.
+MOST_TASKS = 4000
 #: Documents of a source that the landing phase decides by trying every choice.
 LANDING = 12
 #: Probabilities this near to 0 or 1 are decided.
@@ -182,7 +184,8 @@ def mix(
 
         return run
 
-    flown = materialise(units.groupBy("source", "block").applyInArrow(decide(False), schema), "flown")
+    blocks = sum(b for *_, b in rates)
+    flown = materialise(units.repartition(max(1, min(blocks, MOST_TASKS)), "source", "block").groupBy("source", "block").applyInArrow(decide(False), schema), "flown")
     undecided = (F.col("p") > _EPS) & (F.col("p") < 1 - _EPS)
     done = flown.where(~undecided)
     most = max((b for *_, b in rates), default=1)
