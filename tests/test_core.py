@@ -320,3 +320,25 @@ def test_labelling_retries_and_records(spark):
     assert got[3].label is None and got[3].raw.startswith("{") and got[4].label == "line\nend" and got[5].error
     p = spark.createDataFrame([("a  b" * 10, "X")], "t string, c string").select(labelling.prompt("{c}: {text}", "t", 5, c="c").alias("p")).first().p
     assert p == "X: a ba "
+
+
+# review
+
+def test_review(spark):
+    from corpusmill.operators import review
+
+    df = spark.createDataFrame([(1, "The  GROSSE Straße", "x"), (2, None, "bill paid"), (3, "", "")], "id long, t string, u string")
+    assert rows(review.search(df, ["t", "u"], "große STRASSE"), "id") == [] and rows(review.search(df, ["t", "u"], "strasse x"), "id") == [(1,)]
+    assert review.search(df, ["t"], "  ").count() == 3
+    assert rows(review.facets(df, {"u": ["x", ""], "t": []}), "id") == [(1,), (3,)]
+    assert review.choose_key(df, df, ["t", "u", "id"]) == "id"
+    with pytest.raises(ValueError):
+        review.choose_key(df, df.union(df), ["id", "absent"])
+    a, b = spark.createDataFrame([("A", 1), ("B", 2)], "k string, n int"), spark.createDataFrame([("A", 1), ("C", 2)], "k string, n int")
+    assert rows(review.reconcile({"x": a, "y": b}, "k", "n"), "k", "agree") == [("A", True), ("B", False), ("C", False)]
+    assert review.exactly_one(a.where("k = 'A'")).first().n == 1
+    with pytest.raises(Exception, match="exactly one"):
+        review.exactly_one(a).collect()
+    e = spark.createDataFrame([("yes", "", "t"), ("yes", "invented", "the text"), ("yes", "THE text", "the text"), ("no", "", "t"), (None, None, None)], "l string, e string, t string")
+    got = [r[0] for r in e.select(review.evidence_errors(e, "t", {"l": ("yes", "e")})).collect()]
+    assert got == [["l: no evidence"], ["l: evidence is no quotation"], [], [], []]
