@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.web import identifier
 from corpusmill.llm import kernels as K
-from corpusmill.llm.neardup import SHARED, _ranks, _counts
+from corpusmill.llm.neardup import SHARED, _counts, _ranks, needed_rows
 from corpusmill.session import materialise
 
 
@@ -26,8 +26,8 @@ def overlap(
     Rows with a NULL id are ignored, a NULL text or one of fewer than `width` words has no similarity, and
     rows repeated with the same id give one row per pair (the largest similarity).
     """
-    e = evaluation.select(F.col(eval_id).cast("string").alias("id"), F.col(text).cast("string").alias("text"), (identifier(uri) if uri else F.lit(None).cast("string")).alias("uri")).where("id is not null").distinct()
-    t = training.select(F.col(train_id).cast("string").alias("id"), F.col(text).cast("string").alias("text"), (identifier(uri) if uri else F.lit(None).cast("string")).alias("uri")).where("id is not null").distinct()
+    e = evaluation.select(F.col(eval_id).cast("string").alias("id"), F.col(text).cast("string").alias("text"), (identifier(uri) if uri else F.lit(None).cast("string")).alias("uri")).where("id is not null")
+    t = training.select(F.col(train_id).cast("string").alias("id"), F.col(text).cast("string").alias("text"), (identifier(uri) if uri else F.lit(None).cast("string")).alias("uri")).where("id is not null")
     by_uri = e.where("uri is not null").select(F.col("id").alias("eid"), "uri").join(t.where("uri is not null").select(F.col("id").alias("tid"), "uri"), "uri").select("eid", "tid").distinct()
     numbered = e.select(F.xxhash64("id").alias("k"), "text").where("text is not null")
     rank, _, _ = _ranks(numbered.mapInArrow(_counts(width), "kind int, key long, value long, data binary"), threshold)
@@ -46,7 +46,10 @@ def overlap(
         .distinct()
     )
     met = materialise(met, "met")
-    texts = e.select(F.col("id").alias("eid"), F.col("text").alias("et")), t.select(F.col("id").alias("tid"), F.col("text").alias("tt"))
+    # only texts that may be compared are shuffled
+    hashed = t.where("text is not null").select(F.xxhash64("id").alias("h"), F.col("id").alias("tid"), F.col("text").alias("tt"))
+    few = needed_rows(hashed, met.select(F.xxhash64("tid").alias("h")), "h").drop("h")
+    texts = e.select(F.col("id").alias("eid"), F.col("text").alias("et")), few
 
     def verify(batches):
         for b in batches:

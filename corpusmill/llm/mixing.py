@@ -25,6 +25,8 @@ TOKENIZER = os.environ.get("CORPUSMILL_TOKENIZER", "/opt/tokenizers/byte_bpe_mul
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Documents in a block of the flight phase on average.
 BLOCK = 2000
+#: Targets that the driver plans.
+MOST_TARGETS = 100_000
 #: Tasks of the first flight; each takes the blocks that fall to it one after the other.
 MOST_TASKS = 4000
 #: Documents of a source that the landing phase decides by trying every choice.
@@ -146,8 +148,8 @@ def mix(
     shares has (source, target_share, max_repeats, documents, tokens, documents_used, repeats_used, tokens_used, share), a
     row for every target and for every source that has none (its share is 0). Targets are repeated rows of
     a source at most once: the first by share. Documents with NULL ids, without tokens or of a source
-    without a target are never chosen, and no document is used more than max_repeats times. The number of
-    sources is taken to be small enough for the driver, as that of targets; documents never reach it.
+    without a target are never chosen, and no document is used more than max_repeats times. More than
+    MOST_TARGETS targets are refused: they are planned on the driver and broadcast. Documents never reach it.
     """
     spark = docs.sparkSession
     counted = materialise(token_counts(docs, id_col, source, text, tokenizer).dropDuplicates(["id"]), "tokens")
@@ -158,7 +160,9 @@ def mix(
         .agg(F.max_by(F.struct("target_share", "max_repeats"), F.struct("target_share", "max_repeats")).alias("x"))
         .select("source", "x.target_share", "x.max_repeats")
     )
-    wanted = [(r.source, r.target_share, r.max_repeats) for r in t.collect()]
+    wanted = [(r.source, r.target_share, r.max_repeats) for r in t.limit(MOST_TARGETS + 1).collect()]
+    if len(wanted) > MOST_TARGETS:
+        raise ValueError(f"more than {MOST_TARGETS} targets")
     # only sources with a target are asked for
     by = counted.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents"))
     totals = [(r.source, r.tokens, r.documents) for r in by.join(F.broadcast(t), "source", "left_semi").collect()]
