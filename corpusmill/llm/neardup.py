@@ -49,8 +49,8 @@ def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, threshold: f
     shared = df.sparkSession.sparkContext.broadcast(rank)
     buckets = int(max(8, -(-entries // BUCKET_ENTRIES)))
     blobs = rows.mapInArrow(_prefixes(shared, buckets, width, threshold), "bucket int, data binary")
-    # as many tasks as buckets, whatever adaptive execution thinks of their size
-    found = blobs.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_joined(threshold), "a long, b long, class_a long, class_b long, total int, n int")
+    # more tasks than buckets, so that few tasks get two of them, whatever adaptive execution thinks of their size
+    found = blobs.repartition(4 * buckets, "bucket").groupBy("bucket").applyInArrow(_joined(threshold), "a long, b long, class_a long, class_b long, total int, n int")
     candidates = materialise(
         found.groupBy("a", "b", "class_a", "class_b").agg(F.sum("n").alias("n"), F.min("total").alias("total"))
         # two sets of `total` shingles together may share fewer than SHARED at the threshold
