@@ -116,3 +116,28 @@ def reduced_clusters(df: DataFrame, column: str, k: int, dimensions: int = 5, le
     out = m.transform(x).drop("__pca", "__features")
     small = out.groupBy("topic").count().where(F.col("count") < least).select("topic", F.lit(True).alias("__small"))
     return out.join(F.broadcast(small), "topic", "left").withColumn("topic", F.when(F.col("__small"), -1).otherwise(F.col("topic"))).drop("__small")
+
+
+def silhouette(df: DataFrame, column: str, label: str) -> DataFrame:
+    """Mean silhouette of given labels by cosine distance, from sums of unit vectors: no pairs of rows are formed."""
+    x = vectors(df.withColumn("__label", F.col(label).cast("int")), column)
+    value = ClusteringEvaluator(featuresCol="__features", predictionCol="__label", distanceMeasure="cosine").evaluate(x)
+    return df.sparkSession.createDataFrame([(df.count(), round(value, 6))], "n_rows long, silhouette double")
+
+
+def stability(df: DataFrame, id_col: str, column: str, ks: list[int], repeats: int = 3, share: float = 0.8) -> DataFrame:
+    """(k, mean_ari): how alike the clusterings of resamples are to that of all rows, for each number of clusters; models are few, rows stay distributed."""
+    from corpusmill.operators.metrics import rand_index
+    from corpusmill.operators.sampling import resamples
+
+    x = vectors(df.select(id_col, column), column).cache()
+    drawn = resamples(x.select(id_col), repeats, share, id_col).cache()
+    out = None
+    for k in ks:
+        full = KMeans(k=k, seed=1, featuresCol="__features", predictionCol="a").fit(x).transform(x).select(id_col, "a")
+        for r in range(1, repeats + 1):
+            part = x.join(drawn.where(F.col("repeat") == r).select(id_col), id_col)
+            p = KMeans(k=k, seed=1, featuresCol="__features", predictionCol="b").fit(part).transform(part).select(id_col, "b")
+            one = rand_index(full.join(p, id_col), "a", "b").select(F.lit(k).alias("k"), "ari")
+            out = one if out is None else out.union(one)
+    return out.groupBy("k").agg(F.round(F.avg("ari"), 6).alias("mean_ari"))

@@ -27,34 +27,57 @@ def fixed(df: DataFrame, strata: list[str], k: int, id_col: str, seed: str = "s"
     return x.where(F.col("place") <= k).withColumns({"stratum_sample": n, "design_weight": F.col("stratum_size") / n}).drop("place")
 
 
-def even_quotas(sizes: DataFrame, target: int, by: list[str]) -> DataFrame:
-    """Quota of each stratum: an even base, clipped at its size; what is left over goes round in order of the strata.
+def even_quotas(sizes: DataFrame, target: int, by: list[str], within: list[str] = []) -> DataFrame:  # noqa: B006
+    """Quota of each stratum: an even base, clipped at its size; what is left over goes round in order of the strata. With `within`, `target` holds for each of those groups.
 
     Water filling in closed form: with strata in order of size, the level is the even share of what the
     smaller ones leave. The table of strata is far smaller than that of rows.
     """
-    up = Window.orderBy("n", *by)
-    one = Window.partitionBy()
+    one = Window.partitionBy(*within)
+    up = one.orderBy("n", *by)
     below = F.coalesce(F.sum("n").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     s = sizes.withColumns({"__rank": F.row_number().over(up), "__all": F.count("*").over(one), "__below": below})
     # this stratum is full if its size is within the even share of what is left for it and the larger ones
     share = F.floor((F.lit(target) - F.col("__below")) / (F.col("__all") - F.col("__rank") + 1))
     s = s.withColumn("__full", F.col("n") <= share)
     left = F.lit(target) - F.coalesce(F.sum(F.when(F.col("__full"), F.col("n"))).over(one), F.lit(0))
-    s = s.withColumns({"__left": left, "__open": F.count_if(~F.col("__full")).over(one), "__i": F.row_number().over(Window.partitionBy("__full").orderBy(*by))})
+    s = s.withColumns({"__left": left, "__open": F.count_if(~F.col("__full")).over(one), "__i": F.row_number().over(Window.partitionBy(*within, "__full").orderBy(*by))})
     base = F.floor(F.col("__left") / F.greatest("__open", F.lit(1)))
     extra = (F.col("__i") <= F.col("__left") - base * F.col("__open")).cast("long")
     return s.select(*by, "n", F.when(F.col("__full"), F.col("n")).otherwise(base + extra).cast("long").alias("quota"))
 
 
-def allocated(df: DataFrame, strata: list[str], target: int, id_col: str, seed: str = "s") -> DataFrame:
-    """A sample of `target` rows spread evenly over the strata, with design weights."""
-    q = even_quotas(df.groupBy(*strata).agg(F.count("*").alias("n")), target, strata)
+def allocated(df: DataFrame, strata: list[str], target: int, id_col: str, seed: str = "s", within: list[str] = []) -> DataFrame:  # noqa: B006
+    """A sample of `target` rows (of each group of `within`, some of the strata columns) spread evenly over the strata, with design weights."""
+    q = even_quotas(df.groupBy(*strata).agg(F.count("*").alias("n")), target, strata, within)
     x = df.withColumn("place", F.row_number().over(Window.partitionBy(*strata).orderBy(*_order(seed, id_col))))
     j = x.join(q, strata).where(F.col("place") <= F.col("quota"))
     return j.withColumn("design_weight", F.col("n") / F.col("quota")).drop("place").withColumnsRenamed({"n": "stratum_size", "quota": "stratum_sample"})
 
 
+def total_even(df: DataFrame, strata: list[str], target: int, id_col: str, seed: str = "s") -> DataFrame:
+    """`target` rows, the same number of each stratum and one more of the first ones; strata that are too small are refused when the result is read."""
+    n = df.groupBy(*strata).agg(F.count("*").alias("__n"))
+    one = Window.partitionBy()
+    k = F.count("*").over(one)
+    q = n.withColumn("__quota", F.floor(F.lit(target) / k) + (F.row_number().over(one.orderBy(*strata)) <= F.lit(target) % k).cast("long"))
+    ok = F.assert_true(F.col("__n") >= F.col("__quota"), "a stratum has too few rows")
+    x = df.withColumn("__i", F.row_number().over(Window.partitionBy(*strata).orderBy(*_order(seed, id_col))))
+    return x.join(q.where(ok.isNull()), strata).where(F.col("__i") <= F.col("__quota")).drop("__i", "__n", "__quota")
+
+
+def shuffled(df: DataFrame, id_col: str, seed: str = "s") -> DataFrame:
+    """The rows in the order of the draw: a global sort by a key, not one task."""
+    return df.orderBy(*_order(seed, id_col))
+
+
+def without(df: DataFrame, excluded: DataFrame, country: str, uri: str, id_col: str) -> DataFrame:
+    """Rows that an exclusion list doesn't name: by country and uri, or by id where the listed row has no uri."""
+    by_uri = excluded.where(F.col(uri) != "").select(country, uri).distinct()
+    by_id = excluded.where(F.col(uri) == "").select(id_col).distinct()
+    return df.join(by_uri, [country, uri], "left_anti").join(by_id, id_col, "left_anti")
+
+
 def proportional(df: DataFrame, group: list[str], strata: list[str], size: int, id_col: str, seed: str = "s") -> DataFrame:
     """For each group `size` rows, proportionally to its strata (half-even rounding, at least one each), cut at `size`."""
     g, s = Window.partitionBy(*group), Window.partitionBy(*group, *strata)

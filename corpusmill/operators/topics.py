@@ -89,3 +89,23 @@ def diagnostics(df: DataFrame, topic: str, outlier: int = -1) -> DataFrame:
         F.round(F.sum(F.when(t == outlier, F.col("n")).otherwise(0)) / F.sum("n"), DIGITS).alias("outlier_share"),
         F.round(F.try_divide(F.max(F.when(t != outlier, F.col("n")).otherwise(0)), inl), DIGITS).alias("largest_share"),
     )
+
+
+def select_model(candidates: DataFrame) -> DataFrame:
+    """The best adequate candidate: most stable, then most persistent, then most valid, then fewest outliers, then the smallest number."""
+    a = adequate(candidates).where("adequate")
+    return a.orderBy(F.desc("mean_ari"), F.desc("persistence"), F.desc("validity"), "outlier_share", "candidate").limit(1)
+
+
+def override(labels: DataFrame, corrected: DataFrame, key: str) -> DataFrame:
+    """Labels replaced by reviewed ones. The reviewed table must name exactly the keys of the other and the label that it found there; else the result is an error when it is read."""
+    j = labels.withColumn("__l", F.lit(True)).join(corrected.withColumn("__c", F.lit(True)), key, "full")
+    whole = F.assert_true(F.col("__l") & F.col("__c"), "the reviewed keys are not those of the labels")
+    same = F.assert_true(F.col("expected") == F.col("label"), "a label is not the one that was reviewed")
+    return j.where(whole.isNull() & same.isNull()).select(key, F.col("label").alias("model_label"), F.coalesce(F.nullif(F.trim("corrected"), F.lit("")), F.col("label")).alias("label"))
+
+
+def heatmap(shared: DataFrame, group: str, label: str, labels: list) -> DataFrame:
+    """Shares wide: a row for each group, a column for each label, 0 where there is none."""
+    p = shared.groupBy(group).pivot(label, labels).agg(F.first("share"))
+    return p.select(group, *[F.coalesce(F.col(f"`{x}`"), F.lit(0.0)).alias(f"share_{x}") for x in labels])

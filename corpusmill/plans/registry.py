@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.plans import analysis, building, dates, extra, reviewing
+from corpusmill.plans import analysis, building, dates, extra, reviewing, shapes
 
-_MODULES = (dates, building, analysis, reviewing, extra)
+_MODULES = (dates, building, analysis, reviewing, shapes, extra)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
 SQL: dict[str, str] = {k: s for m in _MODULES for k, s in m.SQL.items()}

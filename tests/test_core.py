@@ -342,3 +342,21 @@ def test_review(spark):
     e = spark.createDataFrame([("yes", "", "t"), ("yes", "invented", "the text"), ("yes", "THE text", "the text"), ("no", "", "t"), (None, None, None)], "l string, e string, t string")
     got = [r[0] for r in e.select(review.evidence_errors(e, "t", {"l": ("yes", "e")})).collect()]
     assert got == [["l: no evidence"], ["l: evidence is no quotation"], [], [], []]
+
+
+def test_quotas_within_groups_and_models(spark):
+    df = spark.createDataFrame([(i, "AB"[i % 2], i % 7) for i in range(70)], "id long, g string, s int")
+    a = sampling.allocated(df, ["g", "s"], 10, "id", within=["g"])
+    assert rows(a.groupBy("g").count(), "g", "count") == [("A", 10), ("B", 10)]
+    assert sampling.total_even(df, ["g"], 5, "id").groupBy("g").count().orderBy("g").collect()[0]["count"] == 3
+    with pytest.raises(Exception, match="too few"):
+        sampling.total_even(df, ["g"], 100, "id").collect()
+    labels = spark.createDataFrame([(0, "x"), (1, "y")], "topic int, label string")
+    good = spark.createDataFrame([(0, "x", "X!"), (1, "y", " ")], "topic int, expected string, corrected string")
+    assert rows(topics.override(labels, good, "topic"), "topic", "label") == [(0, "X!"), (1, "y")]
+    for bad in (good.where("topic = 0"), good.withColumn("expected", F.lit("z"))):
+        with pytest.raises(Exception, match="reviewed"):
+            topics.override(labels, bad, "topic").collect()
+    ex = spark.createDataFrame([("A", "u1", 9), ("A", "", 3)], "country string, uri string, id int")
+    art = spark.createDataFrame([("A", "u1", 1), ("B", "u1", 2), ("A", "", 3), ("A", "", 4)], "country string, uri string, id int")
+    assert rows(sampling.without(art, ex, "country", "uri", "id"), "id") == [(2,), (4,)]
