@@ -57,6 +57,15 @@ def materialise(df: DataFrame, name: str = "table", partition_by: list[str] | No
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes the intermediate tables written so far; results that still read them are lost. For long sessions, where the end of the process is far."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop()[1])
+        path.getFileSystem(conf).delete(path, True)
+
+
 def _clean() -> None:
     for _, path in _WRITTEN:
         if path.startswith("file:") and os.path.isdir(local := path.removeprefix("file://").removeprefix("file:")):

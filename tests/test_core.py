@@ -360,3 +360,17 @@ def test_quotas_within_groups_and_models(spark):
     ex = spark.createDataFrame([("A", "u1", 9), ("A", "", 3)], "country string, uri string, id int")
     art = spark.createDataFrame([("A", "u1", 1), ("B", "u1", 2), ("A", "", 3), ("A", "", 4)], "country string, uri string, id int")
     assert rows(sampling.without(art, ex, "country", "uri", "id"), "id") == [(2,), (4,)]
+
+
+def test_shared_tables(spark):
+    import os
+
+    from corpusmill.session import materialise, release, shared_dir
+
+    folder = shared_dir(spark)
+    assert shared_dir(spark) == folder == spark.conf.get("spark.checkpoint.dir")
+    t = materialise(spark.range(3).toDF("n"), "numbers")
+    path = t.inputFiles()[0].removeprefix("file://")
+    assert rows(t, "n") == [(0,), (1,), (2,)] and os.path.exists(path) and path.startswith(folder.removeprefix("file://"))
+    release(spark)
+    assert not os.path.exists(path)
