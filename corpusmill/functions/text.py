@@ -68,8 +68,8 @@ def repair_marked(c: Column | str) -> Column:
 
 
 def plain(c: Column | str) -> Column:
-    """Folded text with everything but word characters taken as white space."""
-    return F.trim(F.regexp_replace(F.regexp_replace(fold(collapse(c)), rf"[^\p{{L}}\p{{N}}_{SPACE}]", " "), f"[{SPACE}]+", " "))
+    """Folded text with everything but word characters taken as white space, in one pass; NULL becomes ''."""
+    return F.trim(F.regexp_replace(fold(F.coalesce(_c(c).cast("string"), F.lit(""))), r"[^\p{L}\p{N}_]+", " "))
 
 
 def tokens(c: Column | str) -> Column:
@@ -78,7 +78,9 @@ def tokens(c: Column | str) -> Column:
 
 
 def word_count(c: Column | str) -> Column:
-    return F.size(tokens(c))
+    """Number of parts between white space: blanks of the collapsed text and one."""
+    x = collapse(c)
+    return F.when(x == "", 0).otherwise(F.length(x) - F.length(F.replace(x, F.lit(" "))) + 1)
 
 
 def text_hash(c: Column | str) -> Column:

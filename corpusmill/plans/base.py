@@ -9,12 +9,12 @@ from corpusmill.functions import names as N
 from corpusmill.functions import text as T
 from corpusmill.operators import corpus, records
 from corpusmill.plans import sqltext as S
-from corpusmill.session import table
+from corpusmill.session import spread, table
 
 
 def articles(spark: SparkSession, d: str) -> DataFrame:
     """Cleaned articles with text hashes, before duplicates are removed."""
-    x = table(spark, d, "cleaned_articles").select("row_seq", "country", "uri", "source_uri", "year", "month", "week", "article_text", "word_count")
+    x = spread(table(spark, d, "cleaned_articles").select("row_seq", "country", "uri", "source_uri", "year", "month", "week", "article_text", "word_count"))
     return x.withColumns({"uri": T.identifier("uri"), "source": N.source("source_uri"), "text_hash": T.text_hash("article_text"), "near_dup_hash": T.prefix_hash("article_text", 200)})
 
 
