@@ -9,7 +9,13 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm import crosssplit, encoding, language, leakage, mixing, neardup, reading, splits, templates
 from corpusmill.operators.components import connected_components
-from corpusmill.session import table
+from corpusmill.session import spread
+from corpusmill.session import table as _table
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table; one small file is read by all cores."""
+    return spread(_table(spark, d, name))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
