@@ -148,11 +148,13 @@ def mix(
     shares has (source, target_share, max_repeats, documents, tokens, documents_used, repeats_used, tokens_used, share), a
     row for every target and for every source that has none (its share is 0). Targets are repeated rows of
     a source at most once: the first by share. Documents with NULL ids, without tokens or of a source
-    without a target are never chosen, and no document is used more than max_repeats times. More than
+    without a target are never chosen, rows repeated with the same id count once (the first by source and
+    size), and no document is used more than max_repeats times. More than
     MOST_TARGETS targets are refused: they are planned on the driver and broadcast. Documents never reach it.
     """
     spark = docs.sparkSession
-    counted = materialise(token_counts(docs, id_col, source, text, tokenizer).dropDuplicates(["id"]), "tokens")
+    counted = token_counts(docs, id_col, source, text, tokenizer).groupBy("id").agg(F.min(F.struct("source", "tokens")).alias("x"))
+    counted = materialise(counted.select("id", "x.source", "x.tokens"), "tokens")
     t = (
         targets.select(F.trim(F.col("source").cast("string")).alias("source"), F.col("target_share").cast("double"), F.col("max_repeats").cast("int"))
         .where("source is not null")

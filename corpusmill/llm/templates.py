@@ -94,10 +94,12 @@ def _documents(df: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
 def repeated(df: DataFrame, id_col: str, text: str, source: str, least: int = 4, share: float = 0.1) -> DataFrame:
     """(outlet, template_id, template, documents, outlet_documents): lines that recur in at least `least` documents and `share` of their outlet's.
 
-    A document is a distinct value of id_col. Documents without an outlet, NULL texts and lines without a
+    A document is a distinct value of id_col; of rows that share one, the first by outlet and text is read. Documents without an outlet, NULL texts and lines without a
     letter give nothing; a line that recurs within one document counts once.
     """
-    rows = _documents(df, id_col, text, source).where("id is not null and source is not null").dropDuplicates(["id"]) if _may_repeat(df, id_col) else _documents(df, id_col, text, source).where("source is not null")
+    rows = _documents(df, id_col, text, source).where("source is not null")
+    if _may_repeat(df, id_col):
+        rows = rows.where("id is not null").groupBy("id").agg(F.min(F.struct("source", "text")).alias("x")).select("id", "x.source", "x.text")
 
     def grow(batches):
         tree, totals = Tree(), {}
