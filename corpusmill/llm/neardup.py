@@ -30,6 +30,8 @@ SHARED = 4
 BITMAP = 512
 #: Prefix entries in a bucket on average; a bucket is joined by one task.
 BUCKET_ENTRIES = 1_500_000
+#: Pairs of members whose bitmaps are compared at once.
+CHUNK = 500_000
 _CELLS = 1 << K.SKETCH_BITS
 _BLOCK = 1 << 15
 _U = np.uint64
@@ -303,7 +305,7 @@ def _joined(t: float):
             ends = np.cumsum(cells)
             at = 0
             while at < len(a):
-                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 2_000_000, side="right")))
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, side="right")))
                 ga, gb, c, s = a[at:to], b[at:to], cells[at:to], shared[at:to]
                 at = to
                 r = np.repeat(np.arange(len(c)), c)
@@ -314,7 +316,7 @@ def _joined(t: float):
                 ok = (total - apart) // 2 >= K.least_common(total, t)
                 got.append((left[ok], right[ok], s[r][ok]))
 
-        for a, b, shared in K.prefix_pairs(token, size[owner], owner, place, t, SHARED):
+        for a, b, shared in K.prefix_pairs(token, size[owner], owner, place, t, SHARED, 2 * CHUNK):
             expand(a, b, shared)
         several = np.flatnonzero((count > 1) & (entries > 0))
         for g in several:
