@@ -2,7 +2,9 @@
 
 import re
 
-from corpusmill.llm import encoding
+import numpy as np
+
+from corpusmill.llm import encoding, language
 
 
 def latin(t):
@@ -21,3 +23,17 @@ def test_lost_bytes_are_wildcards():
     assert m.restore(latin("закон та право").replace("\xbf", "")) == ("закон та право", 1, 0)
     m = encoding.build([("società", 80), ("una", 50), ("libertà", 60), ("perché", 70)])
     assert m.restore(re.sub(r"\s+", " ", latin(latin("perché libertà una società"))).strip()) == ("perché libertà una società", 1, 0)
+
+
+def test_passages_are_found_in_texts_of_any_length():
+    words = {k: [f"{l}{i}" for i in range(50)] for k, l in (("hu", "h"), ("fr", "f"))}
+    counted = [(w, [100.0 if l == k else 0.0 for l in language.LANGUAGES]) for k, ws in words.items() for w in ws]
+    shared = [(f"s{i}", [60.0 if l in words else 0.0 for l in language.LANGUAGES]) for i in range(50)]
+    m = language.build(counted + shared)
+    passage = [*words["fr"][:4], *[f"s{i}" for i in range(12)], *words["fr"][4:8]]
+    for n in (90, 30000):
+        text = words["hu"] * (n // 50) + passage + words["hu"] * (n // 50)
+        score = m.scores(text)
+        like = np.exp(score)
+        chosen = language.languages(score, like, language.proportions(like, np.array([len(text)]))[0])
+        assert {language.LANGUAGES[k] for k in chosen} == {"hu", "fr"}
