@@ -170,9 +170,12 @@ def p10_levels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_profile(spark: SparkSession, d: str) -> DataFrame:
-    """How demanding the texts of each source and language are."""
-    docs = table(spark, d, "documents").withColumn("language", F.lower(F.substring(F.trim("lang"), 1, 2)))
-    return reading.profile(reading.levels(docs, table(spark, d, "reading_labels"), keep=["source", "language"]), ["source", "language"])
+    """How demanding the texts of each source and language are; the language is the main one of the text, else the labelled one."""
+    t, model, channel = _languages(spark, d)
+    scored = reading.levels(table(spark, d, "documents"), table(spark, d, "reading_labels"), keep=["source", "lang", "text"])
+    rows = scored.select(F.struct("source", language.code("lang").alias("label"), "difficulty", "level").alias("k"), "text")
+    x = language.infer(rows, "k", "text", model, channel).select("k.*", F.coalesce(F.get("languages", F.lit(0))["lang"], "k.label").alias("language"))
+    return reading.profile(x, ["source", "language"])
 
 
 _REGISTERED = (

@@ -4,7 +4,8 @@ import re
 
 import numpy as np
 
-from corpusmill.llm import encoding, language
+from corpusmill.llm import encoding, language, queries
+from corpusmill.session import table
 
 
 def latin(t):
@@ -37,3 +38,10 @@ def test_passages_are_found_in_texts_of_any_length():
         like = np.exp(score)
         chosen = language.languages(score, like, language.proportions(like, np.array([len(text)]))[0])
         assert {language.LANGUAGES[k] for k in chosen} == {"hu", "fr"}
+
+
+def test_profile_is_by_language(spark, small):
+    got = queries.p10_profile(spark, small).collect()
+    assert {r.language for r in got} <= {*language.LANGUAGES, None}
+    assert sum(r.documents for r in got) == table(spark, small, "documents").count()
+    assert len({(r.source, r.language) for r in got}) == len(got)
