@@ -71,6 +71,20 @@ def shuffled(df: DataFrame, id_col: str, seed: str = "s") -> DataFrame:
     return df.orderBy(*_order(seed, id_col))
 
 
+def placed(df: DataFrame, id_col: str, seed: str = "s") -> DataFrame:
+    """The rows with their `place` in the order of the draw, from 1.
+
+    Rows fall into 65,536 ranges by the head of their key. A range is ranked by itself and begins after the
+    rows of those before it, so only the ranges' sizes meet in one task.
+    """
+    x = df.withColumn("__key", draw(seed, id_col))
+    x = x.withColumn("__cell", F.conv(F.substring("__key", 1, 4), 16, 10).cast("int"))
+    before = Window.partitionBy().orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = x.groupBy("__cell").agg(F.count("*").alias("__m")).select("__cell", F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__before"))
+    place = F.col("__before") + F.row_number().over(Window.partitionBy("__cell").orderBy("__key", id_col))
+    return x.join(cells, "__cell").withColumn("place", place.cast("long")).drop("__key", "__cell", "__before")
+
+
 def without(df: DataFrame, excluded: DataFrame, country: str, uri: str, id_col: str) -> DataFrame:
     """Rows that an exclusion list doesn't name: by country and uri, or by id where the listed row has no uri."""
     by_uri = excluded.where(F.col(uri) != "").select(country, uri).distinct()

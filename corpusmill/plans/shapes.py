@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import names as N
@@ -63,9 +63,13 @@ def sample_total_even(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT doc_id, row_number() OVER (ORDER BY {_h('s', 'doc_id')}, doc_id) AS place FROM documents WHERE source = 'policy-papers'")
 def shuffled_documents(spark: SparkSession, d: str) -> DataFrame:
     """One source's documents in the order of the draw."""
-    x = P.shuffled(table(spark, d, "documents").where("source = 'policy-papers'").select("doc_id"), "doc_id")
-    w = Window.partitionBy().orderBy(P.draw("s", "doc_id"), "doc_id")
-    return x.withColumn("place", F.row_number().over(w).cast("long"))
+    return P.placed(table(spark, d, "documents").where("source = 'policy-papers'").select("doc_id"), "doc_id")
+
+
+@query(f"SELECT doc_id, row_number() OVER (ORDER BY {_h('s', 'doc_id')}, doc_id) AS place FROM documents")
+def shuffled_all_documents(spark: SparkSession, d: str) -> DataFrame:
+    """All documents in the order of the draw."""
+    return P.placed(table(spark, d, "documents").select("doc_id"), "doc_id")
 
 
 @query(f"""WITH {B.TOPICS}, g AS (SELECT country, topic, sum(weight) AS w FROM topic_rows GROUP BY 1, 2), s AS (SELECT *, round(w / sum(w) OVER (PARTITION BY country), 9) AS share FROM g)
