@@ -28,6 +28,18 @@ def test_lost_bytes_are_wildcards():
     assert m.restore(re.sub(r"\s+", " ", latin(latin("perché libertà una società"))).strip()) == ("perché libertà una società", 1, 0)
 
 
+def test_words_of_any_length():
+    m = encoding.build([("été", 40), ("marché", 50), ("le", 90)])
+    for w in ("é" * 600, "x" * 9999 + "é", "é" * 10000, "Ã©" * 5000, "\u0436" * 10000, "Ã" * 10000 + "\xa0 b"):
+        t = f"le marché {w} été"
+        assert np.isfinite(m.word(w)) and m.garbled(t) in (True, False)
+        got, spans, lost = m.restore(t)
+        assert got.startswith("le marché ") and got.endswith(" été")
+        assert m.restore(f"le marchÃ© {w} le")[0].startswith("le marché ")
+    model = language.build([("le", [10.0 if l == "fr" else 0.0 for l in language.LANGUAGES])])
+    assert np.isfinite(model.scores(["é" * 10000, "ж" * 10000])).all()
+
+
 def test_passages_are_found_in_texts_of_any_length():
     words = {k: [f"{l}{i}" for i in range(50)] for k, l in (("hu", "h"), ("fr", "f"))}
     counted = [(w, [100.0 if l == k else 0.0 for l in language.LANGUAGES]) for k, ws in words.items() for w in ws]
