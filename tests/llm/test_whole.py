@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 
-from corpusmill.llm import encoding, language, queries
+from corpusmill.llm import counts, encoding, language, queries
 from corpusmill.operators import sampling
 from corpusmill.session import table
 
@@ -40,6 +40,28 @@ def test_words_of_any_length():
     assert np.isfinite(model.scores(["é" * 10000, "ж" * 10000])).all()
 
 
+def test_counts_of_any_vocabulary(spark, small, monkeypatch):
+    words = [(f"w{i}é", 1 + 5000 // (i + 1), i % 3) for i in range(4000)]
+    df = spark.createDataFrame([*words, (None, 3, 1)], "w string, a long, b long").repartition(3)
+    everything, none = counts.head_and_tail(df, 4000)
+    assert none is None and sorted(everything) == sorted(words)
+    head, rest = counts.head_and_tail(df, 300)
+    assert 200 < len(head) <= 300 and min(r[1] + r[2] for r in head) > max(r.a + r.b for r in rest.collect())
+    tail = counts.sketch(rest, lambda w, n: w != "w3999é")
+    held = {r[0] for r in head}
+    for w, a, b in words:
+        if w not in held and w != "w3999é":
+            assert a <= 1.08 * tail.counts(w)[0] + 1e-9 and b <= tail.counts(w)[1] and tail.counts(w)[0] <= 1.08 * a + 2
+    assert (tail.counts("w3999é") == 0).all() and tail.total[0] == sum(a for w, a, _ in words[:-1] if w not in held)
+    # decisions with few words held are those with all of them held
+    found = []
+    for limit in (counts.HEAD, 400):
+        monkeypatch.setattr(counts, "HEAD", limit)
+        found.append([{tuple(r) for r in f(spark, small).collect()} for f in (queries.p2_found, queries.p4_found)])
+    for a, b in zip(*found):
+        assert len(a & b) >= 0.97 * len(a | b)
+
+
 def test_passages_are_found_in_texts_of_any_length():
     words = {k: [f"{l}{i}" for i in range(50)] for k, l in (("hu", "h"), ("fr", "f"))}
     counted = [(w, [100.0 if l == k else 0.0 for l in language.LANGUAGES]) for k, ws in words.items() for w in ws]
