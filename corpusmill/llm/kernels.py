@@ -18,7 +18,7 @@ WORD = re.compile(r"[^\W_]+")
 SLICE = 2048
 DOC_BITS = 12
 TOKEN_BITS = 44
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 
 _U = np.uint64
 
@@ -135,17 +135,22 @@ def heads(n: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts(n)[run] + place, run, place
 
 
-def prefix_pairs(token, doc_n, doc_id, place, t: float, k: int, chunk: int = 2_000_000):
+def prefix_pairs(token, doc_n, doc_id, place, t: float, k: int, chunk: int = 2_000_000, side=None):
     """Pairs of documents with shared prefix tokens, after the length and position filters.
 
-    One entry per (token, document); yields arrays (smaller document, larger document, shared tokens seen),
-    a pair once per yielded chunk. Entries are sorted by token, size and id; an entry meets those before
-    it in its run, at most `chunk` pairs at a time, so a hot token costs time but no memory.
+    Entries are (token, document, its size, place); one that occurs twice counts once. Yields arrays (smaller
+    document, larger document, shared tokens seen), a pair once per yielded chunk. Entries are sorted by token,
+    size and id; an entry meets those before it in its run, at most `chunk` pairs at a time, so a hot token costs
+    time but no memory. Of the entries of a token with a `side` other than 0 only those of different sides meet.
     """
-    order = np.lexsort((doc_id, doc_n, token))
-    token, n, ids, place = token[order], doc_n[order].astype(np.int64), doc_id[order], place[order].astype(np.int64)
     if not len(token):
         return
+    order = np.lexsort((place, doc_id, doc_n, token))
+    token, n, ids, place = token[order], doc_n[order].astype(np.int64), doc_id[order], place[order].astype(np.int64)
+    new = np.concatenate([[True], (token[1:] != token[:-1]) | (ids[1:] != ids[:-1]) | (n[1:] != n[:-1]) | (place[1:] != place[:-1])])
+    if not new.all():
+        token, n, ids, place = token[new], n[new], ids[new], place[new]
+    side = side[order][new] if side is not None and side.any() else None
     fits_index = place < index_length(n, t, k)
     fits_probe = place < probe_length(n, t, k)
     run = np.cumsum(np.concatenate([[True], token[1:] != token[:-1]])) - 1
@@ -168,6 +173,8 @@ def prefix_pairs(token, doc_n, doc_id, place, t: float, k: int, chunk: int = 2_0
             right = np.repeat(sub, c)
             left = np.arange(c.sum()) - np.repeat(starts(c), c) + np.repeat(lo, c)
             ok = fits_index[left]
+            if side is not None:
+                ok &= (side[left] == 0) | (side[left] != side[right])
             left, right = left[ok], right[ok]
             need = least_common(n[left] + n[right], t)
             ok = (place[left] < n[left] - need + k) & (place[right] < n[right] - need + k) & (ids[left] != ids[right])

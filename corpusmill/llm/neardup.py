@@ -2,14 +2,20 @@
 
 Two passes over the texts. The first counts every shingle in a sketch of fixed size, which fixes one
 global order from rare to common, and gives each record a class key: records with the same set of
-shingles form one class. The second emits, for each hash bucket of shingles, the prefixes of the records.
-Within a task and again within a bucket, records with identical prefix and size are collapsed into one
-group; group pairs pass the size, position and shared-token filters, then expand to the classes that
-are members, whose bitmaps of fixed width bound the overlap from above. What is left is verified on the
-texts and expanded to the records of a class.
+shingles form one class. In the second, classes with identical prefix and size form one group. A group sends
+one entry for each token of its prefix to the token's bucket and a class one record to where it is kept; so
+what is shuffled is the same for any number of buckets. Pairs of groups that pass the size and position filters
+of a token are added up over the buckets; those that share enough tokens are expanded to the classes that are
+members, whose bitmaps of fixed width bound the overlap from above. What is left is verified on the texts and
+expanded to the records of a class.
 
 The filters lose nothing: a pair at or above the threshold shares its k rarest common shingles within
-both prefixes (or all of them if there are fewer), and a bitmap bound is never below the overlap.
+both prefixes (or all of them if there are fewer), and a bitmap bound is never below the overlap. Groups are
+named by 40 bits; groups that share a name only make more candidates. A class is named by a 64-bit key of its set
+of shingles.
+
+A token that stands in more than about HOT texts is spread over a grid: its entries are dealt over s salts and sent
+to the s cells of their salt, so that every two of them meet in exactly one cell, which is a bucket entry of its own.
 """
 
 from __future__ import annotations
@@ -26,15 +32,21 @@ from corpusmill.session import materialise
 
 #: Rarest common shingles that a pair must share within both prefixes.
 SHARED = 4
-#: Width of a record's bitmap in bits.
+#: Width of a class's bitmap in bits.
 BITMAP = 512
 #: Prefix entries in a bucket on average; a bucket is joined by one task.
 BUCKET_ENTRIES = 1_500_000
-#: Pairs of members whose bitmaps are compared at once.
-CHUNK = 500_000
+#: Occurrences of a token, beside those of a usual cell of the sketch, that make one salt.
+HOT = 20_000
+#: Pairs of entries taken at once, and pairs of groups added up at once.
+CHUNK = 2_000_000
+#: Entries that a task holds before it sends them on, and members of one blob.
+HELD, BLOB = 4_000_000, 1 << 16
 _CELLS = 1 << K.SKETCH_BITS
 _BLOCK = 1 << 15
 _U = np.uint64
+_GROUP = 5  # bytes
+_BITS = [f"b{i}" for i in range(BITMAP // 64)]
 
 
 def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, width: int = 5) -> "Pairs":
@@ -47,20 +59,22 @@ def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, threshold: f
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     first = materialise(rows.mapInArrow(_counts(width), "kind int, key long, value long, data binary"), "shingles")
     members = first.where("kind = 1").select(F.col("key").alias("id"), F.col("value").alias("class")).distinct()
-    rank, records, entries = _ranks(first, threshold)
+    rank, _, entries = _ranks(first, threshold)
     shared = df.sparkSession.sparkContext.broadcast(rank)
     buckets = int(max(8, -(-entries // BUCKET_ENTRIES)))
-    blobs = rows.mapInArrow(_prefixes(shared, buckets, width, threshold), "bucket int, data binary")
-    # more tasks than buckets, so that few tasks get two of them, whatever adaptive execution thinks of their size
-    found = blobs.repartition(4 * buckets, "bucket").groupBy("bucket").applyInArrow(_joined(threshold), "a long, b long, class_a long, class_b long, total int, n int")
-    candidates = materialise(
-        found.groupBy("a", "b", "class_a", "class_b").agg(F.sum("n").alias("n"), F.min("total").alias("total"))
-        # two sets of `total` shingles together may share fewer than SHARED at the threshold
-        .where(F.col("n") >= F.least(F.lit(SHARED), F.ceil(F.lit(threshold / (1 + threshold)) * F.col("total") - 1e-9)))
-        .select("a", "b", "class_a", "class_b"),
-        "candidates",
-    )
-    return Pairs(members, _verified(rows, candidates, threshold, width))
+    sent = rows.mapInArrow(_prefixes(shared, buckets, width, threshold, HOT), "bucket int, data binary")
+    met = materialise(_by_bucket(sent, buckets).mapInArrow(_met(threshold, 4 * buckets), "bucket int, data binary"), "met")
+    pairs = _by_bucket(met.where("bucket >= 0"), 4 * buckets).mapInArrow(_enough, "ga long, gb long")
+    records = met.where("bucket < 0").select("data").mapInArrow(_records, f"class long, id long, n int, grp long, {', '.join(f'{b} long' for b in _BITS)}")
+    # a class that several tasks have sent is named by its smallest record
+    classes = materialise(records.groupBy("class").agg(F.min(F.struct("id", "n", "grp", *_BITS)).alias("r")).select("class", "r.*"), "classes")
+    candidates = materialise(_expanded(pairs, classes, threshold), "candidates")
+    return Pairs(members, materialise(_verified(rows, candidates, threshold, width), "links"))
+
+
+def _by_bucket(df: DataFrame, buckets: int) -> DataFrame:
+    """Buckets one after the other in as many tasks as they need; more tasks than buckets while those are few, so that seldom two fall together."""
+    return df.repartition(min(4 * buckets, max(200, buckets)), "bucket").sortWithinPartitions("bucket")
 
 
 class Pairs:
@@ -133,10 +147,10 @@ def _counts(width: int):
             k = int(has.sum())
             yield pa.RecordBatch.from_arrays([pa.array(np.full(k, 1, np.int32)), pa.array(ids[has]), pa.array(cls[has]), pa.nulls(k, pa.binary())], ["kind", "key", "value", "data"])
         if sizes[0]:
-            small = cells.astype(np.uint16) if cells.max() < 65536 else cells
-            parts = [small[i : i + _BLOCK].tobytes() for i in range(0, _CELLS, _BLOCK)]
-            k = len(parts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, 0, np.int32)), pa.array(np.arange(k)), pa.array(np.full(k, small.itemsize)), pa.array(parts, pa.binary())], ["kind", "key", "value", "data"])
+            for i, block in enumerate(cells.reshape(-1, _BLOCK)):
+                if top := int(block.max()):
+                    small = block.astype(np.uint8 if top < 256 else np.uint16 if top < 65536 else np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([i], pa.int64()), pa.array([small.itemsize], pa.int64()), pa.array([small.tobytes()], pa.binary())], ["kind", "key", "value", "data"])
             yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([int(sizes[0])]), pa.array([int(sizes[1])]), pa.nulls(1, pa.binary())], ["kind", "key", "value", "data"])
 
     return run
@@ -145,12 +159,12 @@ def _counts(width: int):
 def _add_blocks(key, table):
     total = np.zeros(_BLOCK, np.int64)
     for size, data in zip(table.column("value").to_pylist(), table.column("data")):
-        total += np.frombuffer(data.as_py(), np.uint16 if size == 2 else np.int64)
+        total += np.frombuffer(data.as_py(), {1: np.uint8, 2: np.uint16}.get(size, np.int64))
     return pa.table({"key": pa.array([key[0].as_py()]), "data": pa.array([K.quantised(total).tobytes()], pa.binary())})
 
 
 def _ranks(first: DataFrame, threshold: float) -> tuple[np.ndarray, int, int]:
-    """The sketch as one byte a cell (1 MB whatever the input), the records, and an upper bound of the prefix entries."""
+    """The sketch as one byte a cell (4 MB whatever the input), the records, and an upper bound of the prefix entries."""
     blocks = first.where("kind = 0").groupBy("key").applyInArrow(_add_blocks, "key long, data binary").collect()
     rank = np.zeros(_CELLS, np.uint8)
     for b in blocks:
@@ -166,192 +180,243 @@ def bitmaps(key: np.ndarray, docs: int) -> np.ndarray:
     return np.packbits(odd.reshape(docs, BITMAP), axis=1).view(np.uint64)
 
 
-def _prefixes(shared, buckets: int, width: int, t: float):
-    """Blobs for the buckets: the groups' entries and the classes that are their members.
+def _prefixes(shared, buckets: int, width: int, t: float, most: float):
+    """Blobs for the buckets: entries of the groups (bucket 0 and up) and records of the classes (below 0).
 
-    A class is sent once by a task, and so is the prefix of a group: copies cost nothing further.
+    A class and the prefix of a group are sent once by a task: copies cost nothing further.
     """
 
     def run(batches):
         cache, rank = K.WordHashes(), shared.value
-        known: dict[int, int] = {}
-        groups: dict[tuple[int, int], int] = {}
+        counts = np.exp2(np.arange(256) / 10.0) - 1
+        usual = float(counts[rank].mean())
+        known: set[int] = set()
+        groups: set[int] = set()
         held: list[tuple] = []
         size = 0
-
-        def flush():
-            # group numbers are local to a blob
-            entries = [np.concatenate(x) for x in zip(*(h[0] for h in held))]
-            classes = [np.concatenate(x) for x in zip(*(h[1] for h in held))]
-            token, group, place = entries
-            cid, cls, n, cgroup, bits = classes
-            bucket = _bucket(token, buckets)
-            order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for b in range(buckets):
-                at = order[edges[b] : edges[b + 1]]
-                if not len(at):
-                    continue
-                used, local = np.unique(group[at], return_inverse=True)
-                mine = np.flatnonzero(np.isin(cgroup, used))
-                yield b, pack(token[at].astype(np.uint32), local, place[at], len(used), cid[mine], cls[mine], n[mine], np.searchsorted(used, cgroup[mine]), bits[mine])
-
-        out: list[tuple[int, bytes]] = []
         for ids, texts in _slices(batches):
             flat, words = K.word_hashes(texts, cache)
             key, n = K.shingle_sets(flat, words, width)
             token = K.by_rarity(key, rank)
             cls = _class_keys(key, n, flat, words)
-            length = np.where(n > 0, K.probe_length(n, t, SHARED), 0)
-            at, run_, place = K.heads(n, length)
+            at, run_, place = K.heads(n, np.where(n > 0, K.probe_length(n, t, SHARED), 0))
             with np.errstate(over="ignore"):
-                prefix = np.zeros(len(n), np.uint64)
+                prefix = n.astype(np.uint64)
                 np.add.at(prefix, run_, K.mix(token[at] + (place.astype(np.uint64) << _U(K.TOKEN_BITS))))
-            fresh = np.zeros(len(n), bool)
-            number = np.zeros(len(n), np.int64)
-            new_group = np.zeros(len(n), bool)
+                group = K.mix(prefix) >> _U(64 - 8 * _GROUP)
+            fresh, first = np.zeros(len(n), bool), np.zeros(len(n), bool)
             for i in np.flatnonzero(n):
-                c = int(cls[i])
-                if c in known:
-                    continue
-                known[c] = 1
-                fresh[i] = True
-                g = (int(prefix[i]), int(n[i]))
-                if g not in groups:
-                    groups[g] = len(groups)
-                    new_group[i] = True
-                number[i] = groups[g]
-            keep = new_group[run_]
+                if (c := int(cls[i])) not in known:
+                    known.add(c)
+                    fresh[i] = True
+                    if (g := int(group[i])) not in groups:
+                        groups.add(g)
+                        first[i] = True
             mine = np.flatnonzero(fresh)
-            held.append(((token[at][keep], number[run_][keep], place[keep]), (ids[mine], cls[mine], n[mine], number[mine], bitmaps(key, len(n))[mine])))
-            size += int(keep.sum())
-            if size > 4_000_000:
-                out.extend(flush())
+            if len(mine):
+                yield from _batches([(-1 - int(group[mine[0]] % _U(buckets)), pack_records(ids[mine], cls[mine], n[mine], group[mine], bitmaps(key, len(n))[mine]))])
+            keep = first[run_]
+            held.append(_spread(token[at][keep], group[run_][keep], place[keep], n[run_][keep], counts[rank[K.bucket_of(token[at][keep])]] - usual, most))
+            size += len(held[-1][0])
+            if size > HELD:
+                yield from _batches(_entry_blobs(held, buckets))
                 held.clear(), known.clear(), groups.clear()
                 size = 0
-                yield from _blob_batches(out)
-                out = []
-        if held:
-            yield from _blob_batches(flush())
+        if size:
+            yield from _batches(_entry_blobs(held, buckets))
 
     return run
 
 
+def _spread(token, group, place, n, occurrences, most: float):
+    """Entries with their side; those of hot tokens once for each cell of the grid that their salt belongs to."""
+    side = np.zeros(len(token), np.uint8)
+    hot = np.flatnonzero(occurrences > most)
+    if not len(hot):
+        return token, group, place, n, side
+    salts = np.ceil(occurrences[hot] / most).astype(np.int64)
+    i = np.repeat(hot, salts)
+    s = np.repeat(salts, salts)
+    other = np.arange(len(i)) - np.repeat(K.starts(salts), salts)
+    with np.errstate(over="ignore"):
+        own = (K.mix(group[i]) % s.astype(np.uint64)).astype(np.int64)
+        cell = np.minimum(own, other) * s + np.maximum(own, other)
+        cells = K.mix(K.mix(token[i]) + cell.astype(np.uint64)) >> _U(64 - K.TOKEN_BITS)
+    rest = np.setdiff1d(np.arange(len(token)), hot, assume_unique=True)
+    both = np.concatenate([rest, i])
+    return np.concatenate([token[rest], cells]), group[both], place[both], n[both], np.concatenate([side[rest], np.sign(other - own) % 3]).astype(np.uint8)
+
+
 def _bucket(token: np.ndarray, buckets: int) -> np.ndarray:
     """Buckets depend on other bits than the 32 that stay in an entry."""
     return (K.mix(token >> _U(8)) % _U(buckets)).astype(np.int64)
 
 
-def _blob_batches(blobs) -> Iterator[pa.RecordBatch]:
-    for b, data in blobs:
-        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([data], pa.binary())], ["bucket", "data"])
+def _runs(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """The runs of equal buckets of a sorted array, in pieces of BLOB members."""
+    edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+    for a, b in zip(edges[:-1], edges[1:]):
+        for i in range(a, b, BLOB):
+            yield int(bucket[a]), slice(i, min(i + BLOB, b))
+
 
+def _entry_blobs(held: list[tuple], buckets: int) -> Iterator[tuple[int, bytes]]:
+    token, group, place, n, side = (np.concatenate(x) for x in zip(*held))
+    bucket, short = _bucket(token, buckets), token & _U(0xFFFFFFFF)
+    order = np.argsort((bucket.astype(np.uint64) << _U(32)) | short)
+    bucket, short, group, place, n, side = bucket[order], short[order], group[order], place[order], n[order], side[order]
+    for b, s in _runs(bucket):
+        yield b, pack_entries(short[s], group[s], place[s], n[s], side[s])
 
-def pack(token, local, place, groups, cid, cls, n, cgroup, bits) -> bytes:
-    """An entry takes 8 bytes (12 where a number needs more than 16 bits)."""
-    small = np.uint16 if max(groups, int(place.max()) + 1) < 65536 else np.uint32
-    head = np.array([len(token), len(cid), np.dtype(small).itemsize], np.int64)
-    return b"".join(x.tobytes() for x in (head, cid.astype(np.int64), cls.astype(np.int64), bits, n.astype(np.uint32), cgroup.astype(np.uint32), token, local.astype(small), place.astype(small)))
 
+def _batches(blobs) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for blob in blobs:
+        held.append(blob)
+        size += len(blob[1])
+        if size > 1 << 22:
+            yield _batch(held)
+            held, size = [], 0
+    if held:
+        yield _batch(held)
 
-def unpack(data: bytes):
-    e, c, size = np.frombuffer(data, np.int64, 3)
-    at, out = 24, []
-    small = np.uint16 if size == 2 else np.uint32
-    for dtype, count in ((np.int64, c), (np.int64, c), (np.uint64, c * BITMAP // 64), (np.uint32, c), (np.uint32, c), (np.uint32, e), (small, e), (small, e)):
-        out.append(np.frombuffer(data, dtype, int(count), at))
-        at += int(count) * np.dtype(dtype).itemsize
+
+def _batch(blobs: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in blobs], pa.int32()), pa.array([d for _, d in blobs], pa.binary())], ["bucket", "data"])
+
+
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """The lowest `width` bytes of numbers, all first bytes before all second ones: what is mostly 0 then takes no room."""
+    return np.ascontiguousarray(x.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _packed(columns: list[tuple[np.ndarray, int]]) -> bytes:
+    return b"".join([np.array([len(columns[0][0]), *(w for _, w in columns)], np.int64).tobytes(), *(_planes(x, w) for x, w in columns)])
+
+
+def unpack(data: bytes, columns: int) -> list[np.ndarray]:
+    n, *widths = map(int, np.frombuffer(data, np.int64, 1 + columns))
+    at, out = 8 + 8 * columns, []
+    for w in widths:
+        x = np.zeros((n, 8), np.uint8)
+        x[:, :w] = np.frombuffer(data, np.uint8, w * n, at).reshape(w, n).T
+        out.append(x.view(np.uint64).ravel())
+        at += w * n
     return out
 
 
-def _joined(t: float):
-    """Joins one bucket: groups by identical prefix and size, filtered group pairs, expanded to classes."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("class_a", pa.int64()), ("class_b", pa.int64()), ("total", pa.int32()), ("n", pa.int32())])
-
-    def run(key, table):
-        parts = [unpack(x.as_py()) for x in table.column("data")]
-        # the prefix of a group within this bucket and its size identify it across tasks
-        base, ids, cls, bits, n, group, token, owner, place = 0, [], [], [], [], [], [], [], []
-        for cid, ccls, cbits, cn, cgroup, tok, local, pl in parts:
-            groups = int(cgroup.max()) + 1
-            ids.append(cid), cls.append(ccls), bits.append(cbits.reshape(-1, BITMAP // 64)), n.append(cn.astype(np.int64)), group.append(cgroup.astype(np.int64) + base)
-            token.append(tok), owner.append(local.astype(np.int64) + base), place.append(pl.astype(np.int64))
-            base += groups
-        ids, cls, bits, n, group, token, owner, place = map(np.concatenate, (ids, cls, bits, n, group, token, owner, place))
-        size = np.zeros(base, np.int64)
-        size[group] = n
-        with np.errstate(over="ignore"):
-            sign = np.zeros(base, np.uint64)
-            np.add.at(sign, owner, K.mix((token.astype(np.uint64) << _U(20)) + place.astype(np.uint64)))
-            sign = K.mix(sign + size.astype(np.uint64))
-        _, lead, same = np.unique(sign, return_index=True, return_inverse=True)
-        keep = lead[same[owner]] == owner
-        token, owner, place = token[keep], same[owner][keep], place[keep]
-        size = size[lead]
-        entries = np.bincount(owner, minlength=len(lead))
-        # members: each class once, named by the smallest record that was sent for it
-        order = np.lexsort((ids, cls))
-        first = order[np.concatenate([[True], cls[order][1:] != cls[order][:-1]])]
-        ids, cls, bits, n, group = ids[first], cls[first], bits[first], n[first], same[group[first]]
-        order = np.argsort(group, kind="stable")
-        ids, cls, bits, n, group = ids[order], cls[order], bits[order], n[order], group[order]
-        count = np.bincount(group, minlength=len(lead))
-        begin = K.starts(count)
-        got: list[tuple] = []
-
-        def expand(a, b, shared):
-            """Members of group pairs; a hot pair of groups is taken in chunks."""
-            cells = count[a] * count[b]
-            ends = np.cumsum(cells)
-            at = 0
-            while at < len(a):
-                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, side="right")))
-                ga, gb, c, s = a[at:to], b[at:to], cells[at:to], shared[at:to]
-                at = to
-                r = np.repeat(np.arange(len(c)), c)
-                k = np.arange(len(r)) - np.repeat(K.starts(c), c)
-                left, right = begin[ga][r] + k // count[gb][r], begin[gb][r] + k % count[gb][r]
-                total = n[left] + n[right]
-                apart = np.bitwise_count(bits[left] ^ bits[right]).sum(axis=1, dtype=np.int64)
-                ok = (total - apart) // 2 >= K.least_common(total, t)
-                got.append((left[ok], right[ok], s[r][ok]))
-
-        for a, b, shared in K.prefix_pairs(token, size[owner], owner, place, t, SHARED, 2 * CHUNK):
-            expand(a, b, shared)
-        several = np.flatnonzero((count > 1) & (entries > 0))
-        for g in several:
-            ga = np.array([g])
-            left, right = np.triu_indices(count[g], 1) if count[g] < 2000 else (None, None)
-            if left is None:
-                for i in range(count[g]):
-                    right = np.arange(i + 1, count[g]) + begin[g]
-                    got.append(_bounded(np.full(len(right), begin[g] + i), right, n, bits, t, entries[g]))
-            else:
-                got.append(_bounded(left + begin[g], right + begin[g], n, bits, t, entries[g]))
-        if not got:
-            return schema.empty_table()
-        left, right, shared = (np.concatenate(x) for x in zip(*got))
-        swap = ids[left] > ids[right]
-        left, right = np.where(swap, right, left), np.where(swap, left, right)
-        order = np.lexsort((right, left))
-        left, right, shared = left[order], right[order], shared[order]
-        new = np.flatnonzero(np.concatenate([[True], (left[1:] != left[:-1]) | (right[1:] != right[:-1])])) if len(left) else np.empty(0, np.int64)
-        total = np.add.reduceat(shared, new) if len(new) else np.empty(0, np.int64)
-        l, r = left[new], right[new]
-        return pa.table([pa.array(ids[l]), pa.array(ids[r]), pa.array(cls[l]), pa.array(cls[r]), pa.array((n[l] + n[r]).astype(np.int32)), pa.array(total.astype(np.int32))], schema=schema)
+def _width(x: np.ndarray) -> int:
+    return 2 if int(x.max(initial=0)) < 65536 else 4
 
-    return run
 
+def pack_entries(short, group, place, n, side) -> bytes:
+    """Entries sorted by token, as differences of tokens; about ten bytes each once compressed."""
+    return _packed([(np.diff(short, prepend=_U(0)), 4), (group, _GROUP), (place, _width(place)), (n, _width(n)), (side, 1)])
 
-def _bounded(left, right, n, bits, t, shared):
-    total = n[left] + n[right]
-    apart = np.bitwise_count(bits[left] ^ bits[right]).sum(axis=1, dtype=np.int64)
-    ok = (total - apart) // 2 >= K.least_common(total, t)
-    return left[ok], right[ok], np.full(int(ok.sum()), shared)
 
+def pack_records(ids, cls, n, group, bits) -> bytes:
+    return _packed([(ids.view(np.uint64), 8), (cls.view(np.uint64), 8), (n, 4), (group, _GROUP), *((x, 8) for x in bits.reshape(-1, BITMAP // 64).T)])
 
-def needed_rows(rows: DataFrame, ids: DataFrame, id_col: str, bits: int = 1 << 23) -> DataFrame:
-    """Rows whose id may occur in `ids`, by a bitmap of fixed size (1 MB): thins out texts before they are shuffled."""
+
+def _records(batches):
+    for b in batches:
+        for x in b.column(0):
+            ids, cls, n, group, *bits = unpack(x.as_py(), 4 + BITMAP // 64)
+            yield pa.RecordBatch.from_arrays([pa.array(cls.view(np.int64)), pa.array(ids.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(group.view(np.int64)), *(pa.array(c.view(np.int64)) for c in bits)], ["class", "id", "n", "grp", *_BITS])
+
+
+def _grouped(batches) -> Iterator[tuple[int, list[bytes]]]:
+    """The blobs of each bucket; rows are sorted by bucket."""
+    key, held = None, []
+    for b in batches:
+        for k, d in zip(b.column(0).to_pylist(), b.column(1)):
+            if k != key and held:
+                yield key, held
+                held = []
+            key = k
+            held.append(d.as_py())
+    if held:
+        yield key, held
+
+
+def _met(t: float, buckets: int):
+    """Joins the entries of a bucket: blobs of group pairs with the tokens they share there. Records of classes pass through."""
+
+    def run(batches):
+        for key, blobs in _grouped(batches):
+            if key < 0:
+                yield from _batches((key, d) for d in blobs)
+                continue
+            parts = [unpack(d, 5) for d in blobs]
+            token = np.concatenate([np.cumsum(p[0]) for p in parts])
+            group, place, n, side = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in range(1, 5))
+            # groups of one name may differ in size: the smaller size asks for less
+            order = np.lexsort((n, group))
+            lead = order[np.concatenate([[True], group[order][1:] != group[order][:-1]])]
+            names, sizes = group[lead], n[lead]
+            held, size = [], 0
+            for a, b, c in K.prefix_pairs(token, n, group, place, t, SHARED, CHUNK, side):
+                held.append((np.minimum(a, b), np.maximum(a, b), c))
+                size += len(a)
+                if size > CHUNK:
+                    yield from _batches(_pair_blobs(held, names, sizes, t, buckets))
+                    held, size = [], 0
+            if size:
+                yield from _batches(_pair_blobs(held, names, sizes, t, buckets))
+
+    return run
+
+
+def _pair_blobs(held: list[tuple], names, sizes, t: float, buckets: int) -> Iterator[tuple[int, bytes]]:
+    a, b, c = (np.concatenate(x) for x in zip(*held))
+    # two sets of `total` shingles together may share fewer than SHARED at the threshold
+    need = np.minimum(SHARED, K.least_common(sizes[np.searchsorted(names, a)] + sizes[np.searchsorted(names, b)], t))
+    with np.errstate(over="ignore"):
+        bucket = (K.mix(K.mix(a.view(np.uint64)) + b.view(np.uint64)) % _U(buckets)).astype(np.int64)
+    order = np.lexsort((a, bucket))
+    a, b, c, need, bucket = a[order], b[order], np.minimum(c[order], SHARED), need[order], bucket[order]
+    for k, s in _runs(bucket):
+        yield k, _packed([(np.diff(a[s], prepend=0), _GROUP), (b[s], _GROUP), (c[s] + 16 * need[s], 1)])
+
+
+def _enough(batches):
+    """(ga, gb): group pairs that share enough tokens in all buckets together."""
+    for _, blobs in _grouped(batches):
+        parts = [unpack(d, 3) for d in blobs]
+        # a large bucket is taken in several rounds
+        rounds = -(-sum(len(p[0]) for p in parts) // (4 * CHUNK))
+        for r in range(rounds):
+            got = []
+            for p in parts:
+                a, b, x = np.cumsum(p[0]), p[1], p[2]
+                mine = (K.mix(a) % _U(rounds)) == r
+                got.append((a[mine], b[mine], x[mine]))
+            a, b, x = (np.concatenate(y).astype(np.int64) for y in zip(*got))
+            order = np.lexsort((b, a))
+            a, b, x = a[order], b[order], x[order]
+            new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.empty(0, np.int64)
+            if len(new):
+                ok = np.add.reduceat(x & 15, new) >= np.minimum.reduceat(x >> 4, new)
+                yield pa.RecordBatch.from_arrays([pa.array(a[new][ok]), pa.array(b[new][ok])], ["ga", "gb"])
+
+
+def _expanded(pairs: DataFrame, classes: DataFrame, t: float) -> DataFrame:
+    """(a, b, class_a, class_b): classes of group pairs, and of one group, whose bitmaps allow the overlap they need.
+
+    The bound is part of the join condition, so that the pairs of a hot group are met but not put out.
+    """
+    several = classes.groupBy("grp").count().where("count > 1").select(F.col("grp").alias("ga"), F.col("grp").alias("gb"))
+    x = classes.toDF("class_a", "a", "na", "ga", *[f"x{b}" for b in _BITS])
+    y = classes.toDF("class_b", "b", "nb", "hb", *[f"y{b}" for b in _BITS])
+    apart = " + ".join(f"bit_count(x{b} ^ y{b})" for b in _BITS)
+    near = f"floor((na + nb - ({apart})) / 2) >= ceil({t / (1 + t)!r}D * (na + nb) - 1e-9D)"
+    met = pairs.union(several).join(x, "ga")
+    return met.join(y, F.expr(f"gb = hb and (ga < gb or class_a < class_b) and {near}")).select("a", "b", "class_a", "class_b")
+
+
+def needed_rows(rows: DataFrame, ids: DataFrame, id_col: str, most: int = 1 << 26) -> DataFrame:
+    """Rows whose id may occur in `ids`, by a bitmap of 16 bits an id, at most 8 MB: thins out texts before they are shuffled."""
+    bits = 1 << min(most.bit_length() - 1, max(16, (16 * ids.count()).bit_length()))
 
     def maps(batches):
         m = np.zeros(bits, bool)

@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -71,6 +72,31 @@ def test_buckets_and_hot_groups(spark, monkeypatch):
     assert groups[classes[100].class_id] == 0
 
 
+def test_hot_tokens_meet_in_a_grid(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT", 6)
+    r = random.Random(7)
+    hot = "one hot phrase of a few words that many texts begin with"
+    texts = [f"{hot} {' '.join(r.choices('abcdefghij', k=r.randint(0, 14)))}" for _ in range(90)] + corpus(40)
+    df = spark.createDataFrame(list(enumerate(texts)), "row_seq long, article_text string").repartition(4)
+    for t in (0.5, 0.8):
+        p = neardup.near_duplicate_pairs(df, "row_seq", "article_text", t, 3)
+        assert {(r.a, r.b) for r in p.records().collect()} == brute(texts, t, 3)
+
+
+def test_bytes_sent_do_not_grow_with_the_buckets():
+    class Shared:
+        value = np.zeros(1 << K.SKETCH_BITS, np.uint8)
+
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1500)), pa.array([" ".join(r.choices(words, k=160)) for _ in range(1500)])], ["id", "text"])
+    sent = {}
+    for buckets in (8, 1500):
+        blobs = [x.as_py() for b in neardup._prefixes(Shared, buckets, 3, 0.5, neardup.HOT)(iter([batch])) for x in b.column(1)]
+        sent[buckets] = sum(len(x) for x in blobs)
+    assert sent[1500] < 1.2 * sent[8] < 1.2 * 1500 * 1600
+
+
 def test_no_rows(spark):
     df = spark.createDataFrame([], "row_seq long, article_text string")
     p = neardup.near_duplicate_pairs(df, "row_seq", "article_text")
