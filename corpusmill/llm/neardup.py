@@ -35,7 +35,7 @@ SHARED = 4
 #: Width of a class's bitmap in bits.
 BITMAP = 512
 #: Prefix entries in a bucket on average; a bucket is joined by one task.
-BUCKET_ENTRIES = 1_500_000
+BUCKET_ENTRIES = 400_000
 #: Occurrences of a token, beside those of a usual cell of the sketch, that make one salt.
 HOT = 20_000
 #: Pairs of entries taken at once, and pairs of groups added up at once.
@@ -425,7 +425,7 @@ def needed_rows(rows: DataFrame, ids: DataFrame, id_col: str, most: int = 1 << 2
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(m).tobytes()], pa.binary())], ["data"])
 
     total = np.zeros(bits // 8, np.uint8)
-    for r in ids.coalesce(16).mapInArrow(maps, "data binary").toLocalIterator():
+    for r in ids.coalesce(4).mapInArrow(maps, "data binary").toLocalIterator():
         total |= np.frombuffer(r.data, np.uint8)
     shared = rows.sparkSession.sparkContext.broadcast(total)
 
