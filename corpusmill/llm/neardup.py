@@ -21,6 +21,7 @@ to the s cells of their salt, so that every two of them meet in exactly one cell
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -448,9 +449,10 @@ def _verified(rows: DataFrame, candidates: DataFrame, threshold: float, width: i
     j = candidates.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("class_a", "class_b", "text_a", "text_b")
 
     def verify(batches):
+        # pairs of one text come in a row or nearly so
+        sets = lru_cache(512)(lambda x: K.shingles(x, width))
         for b in batches:
-            a = [K.shingles(x.as_py(), width) for x in b.column(2)]
-            s = np.array([K.similarity(x, K.shingles(y.as_py(), width)) for x, y in zip(a, b.column(3))], np.float64)
+            s = np.array([K.similarity(sets(x.as_py()), sets(y.as_py())) for x, y in zip(b.column(2), b.column(3))], np.float64)
             ok = pa.array(s >= threshold - 1e-12)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok), pa.array(s).filter(ok)], ["class_a", "class_b", "similarity"])
 

@@ -73,6 +73,22 @@ def test_repeated_lines(spark, monkeypatch):
     assert templates.repeated_lines(df.limit(0), "row_seq", "article_text", "source_uri").count() == 0
 
 
+def test_bylines_fall_under_one_template(spark):
+    names = ["John Smith", "Anna Jones", "Mary Ann O'Neil", "Li Wei", "Eva Berg", "Tom Hall"]
+    rows = [(k, "a.example", f"A title of article {'x' * k}\nBy {names[k % 6]}, {k} May\n{'y' * (k + 1)} is the body of it\nSHARE THIS") for k in range(30)]
+    rows += [(k, "b.example", f"Council Finds {'X' * k} Guilty Of Many Things\nthe body {'z' * k}\nBy John Smith") for k in range(40, 52)]
+    df = spark.createDataFrame(rows, "row_seq long, source_uri string, article_text string").repartition(4)
+    found = {(x.outlet, x.template): x.documents for x in templates.repeated(df, "row_seq", "article_text", "source_uri").collect()}
+    # a line that is always filled alike is a repeated line, but no template of names
+    assert found[("a.example", "by <*>")] == 30 and found[("a.example", "SHARE THIS")] == 30 and found[("b.example", "By John Smith")] == 12 and ("b.example", "by <*>") not in found
+    clean = {x.row_seq: x for x in templates.without_repeated_lines(df, "row_seq", "article_text", "source_uri").collect()}
+    assert all(clean[k].removed_lines == 2 and "By " not in clean[k].article_text and "body of it" in clean[k].article_text for k in range(30))
+    assert all(clean[k].removed_lines == 1 and clean[k].article_text.startswith("Council") for k in range(40, 52))
+    plain = {(x.row_seq, x.line_no) for x in templates.repeated_lines(df, "row_seq", "article_text", "source_uri").collect()}
+    # of the names themselves some recur often enough as they stand
+    assert {(k, 4) for k in range(30)} <= plain and {(k, 3) for k in range(40, 52)} <= plain
+
+
 SENTENCES = {
     "fr": "la société a présenté une requête à l'hôpital après l'élection où le député gênait déjà l'enquête du procès",
     "uk": "кожен міський суддя підписав договір після того як прокурор знайшов рахунок і захистив свідка від журналіста",
