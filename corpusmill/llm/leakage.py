@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm import kernels as K
 
-#: n-grams of test items in one broadcast block (16 MB of hashes); more items take more blocks over all rows.
+#: n-grams of test items in one broadcast block (16 MB of hashes, about 40 MB with their places and words); more items
+#: take more blocks over all rows.
 BLOCK_GRAMS = 2_000_000
 _FILTER_BITS = 23
 _U = np.uint64
@@ -19,17 +20,23 @@ class _Block:
     """Test n-grams: sorted hashes, where each occurs, a bit filter, and the items' words for verification."""
 
     def __init__(self, width: int):
-        self.width, self.ids, self.words = width, [], []
+        self.width, self.ids, self.words, self.begins = width, [], [], []
 
     def add(self, item_id: str, w: list[str]) -> int:
         self.ids.append(item_id)
-        self.words.append(w)
+        self.words.append(" ".join(w))
+        # where each word begins, and where another one would
+        self.begins.append(np.cumsum([0, *(len(x) + 1 for x in w)], dtype=np.int32))
         return len(w) - self.width + 1
 
+    def has(self, item: int, place: int, window: str) -> bool:
+        at = self.begins[item]
+        return self.words[item][at[place] : at[place + self.width] - 1] == window
+
     def close(self) -> "_Block":
         cache = K.WordHashes()
-        flat = np.array([cache[x] for w in self.words for x in w], np.uint64)
-        h, item, place = K.ngrams(flat, np.array([len(w) for w in self.words]), self.width)
+        flat = np.array([cache[x] for w in self.words for x in w.split(" ")], np.uint64)
+        h, item, place = K.ngrams(flat, np.array([len(b) - 1 for b in self.begins]), self.width)
         order = np.argsort(h, kind="stable")
         self.hash, self.item, self.place = h[order], item[order].astype(np.int32), place[order].astype(np.int32)
         bits = np.zeros(1 << _FILTER_BITS, bool)
@@ -85,10 +92,9 @@ def _hits(texts, cache, block: _Block, width: int):
     for i in np.flatnonzero(hi > lo):
         if known[0] != doc[i]:
             known = (int(doc[i]), K.words(texts[doc[i]]))
-        window = known[1][place[i] : place[i] + width]
+        window = " ".join(known[1][place[i] : place[i] + width])
         for j in range(lo[i], hi[i]):
-            p = block.place[j]
-            if block.words[block.item[j]][p : p + width] == window:
+            if block.has(block.item[j], block.place[j], window):
                 yield int(doc[i]), int(block.item[j]), int(place[i])
 
 
@@ -123,31 +129,38 @@ def _covered(places: list[int], width: int) -> int:
 def without_leaks(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str = "item_id", item_text: str = "item_text", width: int = 12) -> DataFrame:
     """(doc_id, text, removed_words): the documents without the spans they share with test items.
 
-    Documents that share nothing come out unchanged with removed_words 0; a NULL text stays NULL. With
-    several blocks the spans of each block are removed one block after the other.
+    Documents that share nothing come out unchanged with removed_words 0; a NULL text stays NULL. The spans of all
+    blocks are found in the text as it is and cut once, so the result doesn't depend on how items fall into blocks.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.lit(0).alias("removed_words"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.array().cast("array<int>").alias("places"))
 
-    def cut(shared):
+    def find(shared):
         def run(batches):
             cache, block = K.WordHashes(), shared.value
             for b in batches:
                 for at in range(0, b.num_rows, K.SLICE):
                     s = b.slice(at, K.SLICE)
-                    texts, removed = s.column(1).to_pylist(), s.column(2).to_pylist()
-                    spans: dict[int, set[int]] = {}
+                    texts, places = s.column(1).to_pylist(), s.column(2).to_pylist()
                     for d, _, p in _hits(texts, cache, block, width):
-                        spans.setdefault(d, set()).update(range(p, p + width))
-                    for d, gone in spans.items():
-                        texts[d] = _cut(texts[d], gone)
-                        removed[d] += len(gone)
-                    yield pa.RecordBatch.from_arrays([s.column(0), pa.array(texts, pa.string()), pa.array(removed, pa.int32())], ["doc_id", "text", "removed_words"])
+                        places[d].append(p)
+                    yield pa.RecordBatch.from_arrays([s.column(0), s.column(1), pa.array([sorted(set(p)) for p in places], pa.list_(pa.int32()))], ["doc_id", "text", "places"])
 
         return run
 
+    def cut(batches):
+        for b in batches:
+            texts, removed = b.column(1).to_pylist(), []
+            for d, places in enumerate(b.column(2).to_pylist()):
+                gone = {i for p in places for i in range(p, p + width)}
+                removed.append(len(gone))
+                if gone:
+                    texts[d] = _cut(texts[d], gone)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(removed, pa.int32())], ["doc_id", "text", "removed_words"])
+
     for block in _blocks(items, item_id, item_text, width):
-        rows = rows.mapInArrow(cut(docs.sparkSession.sparkContext.broadcast(block)), rows.schema)
-    return rows
+        rows = rows.mapInArrow(find(docs.sparkSession.sparkContext.broadcast(block)), rows.schema)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(cut, f"doc_id {kind}, text string, removed_words int")
 
 
 def _cut(text: str, gone: set[int]) -> str:

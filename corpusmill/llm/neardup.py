@@ -36,7 +36,7 @@ SHARED = 4
 #: Width of a class's bitmap in bits.
 BITMAP = 512
 #: Prefix entries in a bucket on average; a bucket is joined by one task.
-BUCKET_ENTRIES = 400_000
+BUCKET_ENTRIES = 800_000
 #: Occurrences of a token, beside those of a usual cell of the sketch, that make one salt.
 HOT = 20_000
 #: Pairs of entries taken at once, and pairs of groups added up at once.
@@ -64,8 +64,8 @@ def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, threshold: f
     shared = df.sparkSession.sparkContext.broadcast(rank)
     buckets = int(max(8, -(-entries // BUCKET_ENTRIES)))
     sent = rows.mapInArrow(_prefixes(shared, buckets, width, threshold, HOT), "bucket int, data binary")
-    met = materialise(_by_bucket(sent, buckets).mapInArrow(_met(threshold, 4 * buckets), "bucket int, data binary"), "met")
-    pairs = _by_bucket(met.where("bucket >= 0"), 4 * buckets).mapInArrow(_enough, "ga long, gb long")
+    met = materialise(_by_bucket(sent, buckets).mapInArrow(_met(threshold, buckets), "bucket int, data binary"), "met")
+    pairs = _by_bucket(met.where("bucket >= 0"), buckets).mapInArrow(_enough, "ga long, gb long")
     records = met.where("bucket < 0").select("data").mapInArrow(_records, f"class long, id long, n int, grp long, {', '.join(f'{b} long' for b in _BITS)}")
     # a class that several tasks have sent is named by its smallest record
     classes = materialise(records.groupBy("class").agg(F.min(F.struct("id", "n", "grp", *_BITS)).alias("r")).select("class", "r.*"), "classes")

@@ -22,7 +22,9 @@ def test_leaks_equal_brute_force(spark, monkeypatch):
             at = r.randrange(len(x) - n + 1)
             w[len(w) // 2 : len(w) // 2] = x[at : at + n]
         docs.append((k, " ; ".join(w) if k % 2 else " ".join(w).upper(), "clash"))
-    docs += [(1000, None, ""), (1001, "", ""), (1002, items[5][1] + " z " * 5000, ""), (None, items[5][1], "")]
+    # items that overlap in a document, and fall into different blocks
+    items += [("o1", " ".join(f"q{j}" for j in range(20))), ("o2", " ".join(f"q{j}" for j in range(8, 30)))]
+    docs += [(1003, " ".join(f"q{j}" for j in range(30)) + " tail", ""), (1000, None, ""), (1001, "", ""), (1002, items[5][1] + " z " * 5000, ""), (None, items[5][1], "")]
     d = spark.createDataFrame([*docs, docs[0]], "doc_id long, text string, item_id string")
     i = spark.createDataFrame([*items, items[0], ("n", None), (None, "x")], "item_id string, item_text string")
     grams = {k: {tuple(w[j : j + 12]) for j in range(len(w) - 11)} for k, t in items if (w := t.split())}
@@ -31,13 +33,16 @@ def test_leaks_equal_brute_force(spark, monkeypatch):
         w = K.words(t)
         mine = {tuple(w[j : j + 12]) for j in range(len(w) - 11)}
         want |= {(k, n) for n, g in grams.items() if mine & g and k is not None}
-    for block in (leakage.BLOCK_GRAMS, 30):
+    texts = []
+    for block in (leakage.BLOCK_GRAMS, 30, 1):
         monkeypatch.setattr(leakage, "BLOCK_GRAMS", block)
         got = leakage.leaks(d, i, "doc_id", "text").collect()
         assert {(x.doc_id, x.item_id) for x in got} == want
         clean = leakage.without_leaks(d, i, "doc_id", "text")
         assert clean.count() == len(docs) + 1
         assert leakage.leaks(clean.drop("removed_words"), i, "doc_id", "text").count() == 0
+        texts.append(sorted((str(x.doc_id), str(x.text), x.removed_words) for x in clean.collect()))
+    assert texts[0] == texts[1] == texts[2]
     kept = {x.doc_id: x for x in clean.collect()}
     hit = {k for k, _ in want}
     for k, t, _ in docs[:80]:
