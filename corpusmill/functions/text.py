@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 SPACE = r"\s\u001c-\u001f\u0085\p{Z}"
 #: Spellings of a missing identifier, in lower case.
 MISSING = ["", "nan", "none", "<na>"]
-#: Characters that a wrong reading leaves behind most often; the reading with fewest of them wins.
-MARKERS = "ÐÑÃÂÄÅ�"
+#: Characters whose number decides between two readings of a text (fixed values).
+MARKERS = ["Ð", "Ñ", "Ã", "Â", "Ä", "Å", "�"]
+#: The printable characters of cp1252 that Latin-1 lacks, and the Latin-1 characters of the same bytes.
+PRINTED = bytes(range(0x80, 0xA0)).decode("cp1252", "ignore")
+CONTROLS = "".join(map(chr, PRINTED.encode("cp1252")))
 
 
 def _c(c: Column | str) -> Column:
@@ -43,28 +46,28 @@ def casefold(c: Column | str) -> Column:
     return F.pandas_udf(_casefold, "string")(_c(c))
 
 
-def _best_reading(x: str) -> str:
-    best = [x]
-    for e in ("latin1", "cp1252"):
-        try:
-            best.append(x.encode(e).decode("utf-8"))
-        except UnicodeError:
-            continue
-    return min(best, key=lambda y: sum(map(y.count, MARKERS)))
+def read_again(c: Column | str) -> Column:
+    """The UTF-8 text whose bytes were shown as Latin-1 or cp1252 characters; NULL if a text can't be that.
 
+    A byte from 0x80 to 0x9F is either a control character (Latin-1) or a printable one (cp1252), the same way all
+    through a text; all other bytes look alike in both.
+    """
+    x = _c(c)
+    possible = x.rlike(f"^[\\x{{00}}-\\x{{FF}}{PRINTED}]*$") & ~(x.rlike(f"[{PRINTED}]") & x.rlike(r"[\x{80}-\x{9F}]"))
+    shown = F.encode(F.translate(F.when(possible, x), PRINTED, CONTROLS), "ISO-8859-1")
+    return F.try_validate_utf8(shown.cast("string"))
 
-def _repair(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: _best_reading(x) if isinstance(x, str) else None)
 
+def markers(c: Column | str) -> Column:
+    """Number of MARKERS in a text."""
+    return F.length(_c(c)) - F.length(F.translate(_c(c), "".join(MARKERS), ""))
 
-def repair_marked(c: Column | str) -> Column:
-    """UTF-8 read as Latin-1 or cp1252, whole texts only: kept if it has fewer marker characters; ties keep the text.
 
-    Texts without a marker skip the Python function.
-    """
+def repair_marked(c: Column | str) -> Column:
+    """Texts that are UTF-8 read as Latin-1 or cp1252 as a whole, read again where that leaves fewer MARKERS; all others as they are."""
     x = _c(c)
-    marked = x.rlike(f"[{MARKERS}]")
-    return F.when(marked, F.pandas_udf(_repair, "string")(F.when(marked, x))).otherwise(x)
+    again = read_again(F.when(x.rlike(f"[{''.join(MARKERS)}]"), x))
+    return F.when(markers(again) < markers(x), again).otherwise(x)
 
 
 def plain(c: Column | str) -> Column:

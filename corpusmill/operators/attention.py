@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from corpusmill.functions.names import COUNTRY_ORDER
 
 DIGITS = 9
+#: Periods of a report, at most.
+MOST_PERIODS = 10_000
 
 
 def coverage(df: DataFrame) -> DataFrame:
@@ -69,10 +71,13 @@ def complete_periods(attention: DataFrame, period: str, required: list[str]) ->
 
 
 def dense(counts: DataFrame, label: str, period: str, value: str) -> DataFrame:
-    """Every label at every period that any label has; 0 where there is nothing. Labels and periods are report dimensions, far fewer than rows."""
-    labels, periods = counts.select(label).distinct(), counts.select(period).distinct()
-    # equal keys on either side make this a join on a constant
-    grid = labels.withColumn("__k", F.lit(1)).join(periods.withColumn("__k", F.lit(1)), "__k").drop("__k")
+    """Every label at every period that any label has; 0 where there is nothing. Periods are a report dimension, at most MOST_PERIODS; labels may be many."""
+    periods = [r[0] for r in counts.select(period).distinct().limit(MOST_PERIODS + 1).collect()]
+    if len(periods) > MOST_PERIODS:
+        raise ValueError(f"more than {MOST_PERIODS} different values of {period}")
+    kind = counts.schema[period].dataType.simpleString()
+    # a few periods are exploded onto each label where it stands
+    grid = counts.select(label).distinct().withColumn(period, F.explode(F.array(*[F.lit(p).cast(kind) for p in periods]) if periods else F.array().cast(f"array<{kind}>")))
     return grid.join(counts, [label, period], "left").fillna(0, [value])
 
 
@@ -85,7 +90,8 @@ def lagged(yearly: DataFrame, value: str) -> DataFrame:
 def sources(articles: DataFrame, source: str = "source") -> DataFrame:
     """Articles, countries, first and last year of each source, and its share of the corpus."""
     g = articles.groupBy(source).agg(F.count("*").alias("articles"), F.countDistinct("country").alias("countries"), F.min("year").alias("first_year"), F.max("year").alias("last_year"))
-    return g.withColumn("share", F.round(F.col("articles") / F.sum("articles").over(Window.partitionBy()), DIGITS))
+    # the total goes to the sources, not these to one task
+    return g.withColumn("share", F.round(F.col("articles") / articles.agg(F.count("*")).scalar(), DIGITS))
 
 
 def country_sources(articles: DataFrame, source: str = "source") -> DataFrame:

@@ -6,6 +6,7 @@ import json
 import re
 import time
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,14 +14,26 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 
-#: Words of an error that no retry helps against.
-FATAL = ("not allowed to access model", "invalid api key", "authentication", "permission denied", "model not found", "insufficient quota")
 _FENCE = re.compile(r"^```[A-Za-z]*\s*|\s*```$")
 
 
-def fatal(message: str) -> bool:
-    """Whether an error is final."""
-    return any(x in message.lower() for x in FATAL)
+@dataclass(frozen=True)
+class Final:
+    """What the errors of a client that no retry helps against are known by: the class, a code, or words of the message.
+
+    The values are those of the usual clients of chat models (fixed values); another client brings its own.
+    """
+
+    classes: tuple[str, ...] = ("AuthenticationError", "PermissionDeniedError")
+    codes: tuple[str, ...] = ("invalid_api_key", "key_model_access_denied", "model_not_found")
+    words: tuple[str, ...] = ("does not exist or you do not have access", "key not allowed to access model")
+
+    def __call__(self, e: BaseException) -> bool:
+        if str(getattr(e, "code", "")) in self.codes or any(k.__name__ in self.classes for k in type(e).__mro__):
+            return True
+        # a client that wraps another one keeps only what that one said
+        said = str(e).casefold()
+        return any(x.casefold() in said for known in (self.classes, self.codes, self.words) for x in known)
 
 
 def prompt(template: str, text: Column | str, most: int = 6000, **columns: Column | str) -> Column:
@@ -46,12 +59,13 @@ def lenient_json(answer: str) -> dict:
 
 
 def label(
-    df: DataFrame, id_col: str, prompt_col: str, client: Callable[[], Callable[[str], str]], validate: Callable[[dict], dict[str, str]], fields: list[str], retries: int = 3, wait: float = 0.0
+    df: DataFrame, id_col: str, prompt_col: str, client: Callable[[], Callable[[str], str]], validate: Callable[[dict], dict[str, str]], fields: list[str], retries: int = 3, wait: float = 0.0,
+    final: Callable[[BaseException], bool] = Final(),
 ) -> DataFrame:
     """(id, *fields, error, raw, attempts) of every row.
 
     `client` makes a function from prompt to answer, once in each task. An error is retried with a wait that
-    grows by the attempt, unless it is final; a row that fails has its error and NULL fields and stops no
+    grows by the attempt, unless `final` says that it is final; a row that fails has its error and NULL fields and stops no
     other. The raw answer is kept. A NULL prompt is an error.
     """
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
@@ -73,7 +87,7 @@ def label(
                         break
                     except Exception as e:  # whatever the client raises is recorded with the row
                         error = f"{type(e).__name__}: {e}"
-                        if fatal(error) or not isinstance(p, str):
+                        if final(e) or not isinstance(p, str):
                             break
                         time.sleep(wait * n)
                 out.append([key, *[got.get(f) for f in fields], error, raw, n])

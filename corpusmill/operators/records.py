@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.operators.sampling import join_groups
+
 
 def upsert(existing: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
     """Both tables with the last row of each key: new rows after existing ones, then by `order`."""
@@ -42,9 +44,23 @@ def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(F.count("*").alias("n_rows"), F.sha2(F.concat_ws(",", *[F.coalesce(part(i), F.lit("0")) for i in range(4)]), 256).alias("fingerprint"))
 
 
-def id_fingerprint(df: DataFrame, key: str, by: list[str] = []) -> DataFrame:  # noqa: B006
-    """SHA-256 of the sorted distinct ids of each group, joined by line ends: the hash that a manifest of a sample states. For sample-sized groups."""
-    return df.where(F.col(key).isNotNull()).groupBy(*by).agg(F.countDistinct(key).alias("n_ids"), F.sha2(F.array_join(F.array_sort(F.collect_set(F.col(key).cast("string"))), "\n"), 256).alias("ids_sha256"))
+#: Ids of a group whose joined list is hashed, at most.
+MOST_IDS = 1_000_000
+
+
+def id_fingerprint(df: DataFrame, key: str, by: list[str] = [], most: int = MOST_IDS) -> DataFrame:  # noqa: B006
+    """SHA-256 of the sorted distinct ids of each group, joined by line ends: the hash that a manifest of a sample states.
+
+    For sample-sized groups: one of more than `most` ids is an error when the result is read, before its ids are
+    gathered. `fingerprint` has no such bound.
+    """
+    ids = df.where(F.col(key).isNotNull()).select(*by, F.col(key).cast("string").alias("__id")).distinct()
+    n = ids.groupBy(*by).agg(F.count("*").alias("n_ids"))
+    n = n.where(F.assert_true(F.col("n_ids") <= most, f"a group has more than {most} ids").isNull())
+    joined = F.sha2(F.array_join(F.array_sort(F.collect_list("__id")), "\n"), 256).alias("ids_sha256")
+    if not by:
+        return ids.where(F.assert_true(n.select("n_ids").scalar() > 0).isNull()).agg(F.count("*").alias("n_ids"), joined)
+    return join_groups(ids, n, by).groupBy(*by).agg(F.first("n_ids").alias("n_ids"), joined)
 
 
 def verify_scores(df: DataFrame, probability: str, predicted: str, threshold: float, by: str) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.session import materialise
+
 
 def draw(seed: str, id_col: str) -> Column:
     """The place of a row in the draw."""
@@ -19,12 +21,39 @@ def _order(seed: str, id_col: str) -> list[Column]:
     return [draw(seed, id_col), F.col(id_col)]
 
 
+def in_place(df: DataFrame, by: list[str], id_col: str, seed: str = "s", upto: int | None = None) -> DataFrame:
+    """The rows with the `__size` of their group and their `__place` in its draw, from 1; with `upto`, only those places.
+
+    The rows of a group fall into 65,536 cells by the head of their key. A cell is ranked by itself and begins after
+    the rows of those before it, so a hot group is no task's alone, and with `upto` cells that begin beyond it are
+    left before anything is sorted. Groups of NULL are groups.
+    """
+    x = df.withColumn("__key", draw(seed, id_col))
+    x = x.withColumn("__cell", F.conv(F.substring("__key", 1, 4), 16, 10).cast("int"))
+    g = Window.partitionBy(*by)
+    before = g.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = x.groupBy(*by, "__cell").agg(F.count("*").alias("__m"))
+    cells = cells.withColumns({"__size": F.sum("__m").over(g), "__before": F.coalesce(F.sum("__m").over(before), F.lit(0))})
+    if upto is not None:
+        cells = cells.where(F.col("__before") < upto)
+    j = join_groups(x, cells.drop("__m"), [*by, "__cell"])
+    place = F.col("__before") + F.row_number().over(Window.partitionBy(*by, "__cell").orderBy("__key", id_col))
+    j = j.withColumn("__place", place.cast("long")).drop("__key", "__cell", "__before")
+    return j if upto is None else j.where(F.col("__place") <= upto)
+
+
+def join_groups(df: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+    """Inner join on columns of which NULL is a value like any other."""
+    right = groups.withColumnsRenamed({c: f"__r_{c}" for c in by})
+    same = [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in by]
+    return df.join(right, same).drop(*[f"__r_{c}" for c in by])
+
+
 def fixed(df: DataFrame, strata: list[str], k: int, id_col: str, seed: str = "s") -> DataFrame:
     """At most k rows of each stratum, with its size, the number drawn and the design weight size / drawn."""
-    w = Window.partitionBy(*strata)
-    x = df.withColumns({"stratum_size": F.count("*").over(w), "place": F.row_number().over(w.orderBy(*_order(seed, id_col)))})
-    n = F.least(F.col("stratum_size"), F.lit(k))
-    return x.where(F.col("place") <= k).withColumns({"stratum_sample": n, "design_weight": F.col("stratum_size") / n}).drop("place")
+    n = F.least(F.col("__size"), F.lit(k).cast("long"))
+    x = in_place(df, strata, id_col, seed, k).drop("__place")
+    return x.withColumns({"stratum_size": F.col("__size"), "stratum_sample": n, "design_weight": F.col("__size") / n}).drop("__size")
 
 
 def even_quotas(sizes: DataFrame, target: int, by: list[str], within: list[str] = []) -> DataFrame:  # noqa: B006
@@ -50,9 +79,9 @@ def even_quotas(sizes: DataFrame, target: int, by: list[str], within: list[str]
 def allocated(df: DataFrame, strata: list[str], target: int, id_col: str, seed: str = "s", within: list[str] = []) -> DataFrame:  # noqa: B006
     """A sample of `target` rows (of each group of `within`, some of the strata columns) spread evenly over the strata, with design weights."""
     q = even_quotas(df.groupBy(*strata).agg(F.count("*").alias("n")), target, strata, within)
-    x = df.withColumn("place", F.row_number().over(Window.partitionBy(*strata).orderBy(*_order(seed, id_col))))
-    j = x.join(q, strata).where(F.col("place") <= F.col("quota"))
-    return j.withColumn("design_weight", F.col("n") / F.col("quota")).drop("place").withColumnsRenamed({"n": "stratum_size", "quota": "stratum_sample"})
+    # no quota is above the target
+    j = join_groups(in_place(df, strata, id_col, seed, target), q, strata).where(F.col("__place") <= F.col("quota"))
+    return j.withColumn("design_weight", F.col("n") / F.col("quota")).drop("__place", "__size").withColumnsRenamed({"n": "stratum_size", "quota": "stratum_sample"})
 
 
 def total_even(df: DataFrame, strata: list[str], target: int, id_col: str, seed: str = "s") -> DataFrame:
@@ -62,8 +91,8 @@ def total_even(df: DataFrame, strata: list[str], target: int, id_col: str, seed:
     k = F.count("*").over(one)
     q = n.withColumn("__quota", F.floor(F.lit(target) / k) + (F.row_number().over(one.orderBy(*strata)) <= F.lit(target) % k).cast("long"))
     ok = F.assert_true(F.col("__n") >= F.col("__quota"), "a stratum has too few rows")
-    x = df.withColumn("__i", F.row_number().over(Window.partitionBy(*strata).orderBy(*_order(seed, id_col))))
-    return x.join(q.where(ok.isNull()), strata).where(F.col("__i") <= F.col("__quota")).drop("__i", "__n", "__quota")
+    x = join_groups(in_place(df, strata, id_col, seed, target), q.where(ok.isNull()), strata)
+    return x.where(F.col("__place") <= F.col("__quota")).drop("__place", "__size", "__n", "__quota")
 
 
 def shuffled(df: DataFrame, id_col: str, seed: str = "s") -> DataFrame:
@@ -72,17 +101,8 @@ def shuffled(df: DataFrame, id_col: str, seed: str = "s") -> DataFrame:
 
 
 def placed(df: DataFrame, id_col: str, seed: str = "s") -> DataFrame:
-    """The rows with their `place` in the order of the draw, from 1.
-
-    Rows fall into 65,536 ranges by the head of their key. A range is ranked by itself and begins after the
-    rows of those before it, so only the ranges' sizes meet in one task.
-    """
-    x = df.withColumn("__key", draw(seed, id_col))
-    x = x.withColumn("__cell", F.conv(F.substring("__key", 1, 4), 16, 10).cast("int"))
-    before = Window.partitionBy().orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = x.groupBy("__cell").agg(F.count("*").alias("__m")).select("__cell", F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__before"))
-    place = F.col("__before") + F.row_number().over(Window.partitionBy("__cell").orderBy("__key", id_col))
-    return x.join(cells, "__cell").withColumn("place", place.cast("long")).drop("__key", "__cell", "__before")
+    """The rows with their `place` in the order of the draw, from 1; only the sizes of cells meet in one task."""
+    return in_place(df, [], id_col, seed).withColumnRenamed("__place", "place").drop("__size")
 
 
 def without(df: DataFrame, excluded: DataFrame, country: str, uri: str, id_col: str) -> DataFrame:
@@ -94,25 +114,33 @@ def without(df: DataFrame, excluded: DataFrame, country: str, uri: str, id_col:
 
 def proportional(df: DataFrame, group: list[str], strata: list[str], size: int, id_col: str, seed: str = "s") -> DataFrame:
     """For each group `size` rows, proportionally to its strata (half-even rounding, at least one each), cut at `size`."""
-    g, s = Window.partitionBy(*group), Window.partitionBy(*group, *strata)
-    x = df.withColumns({"n_group": F.count("*").over(g), "n_stratum": F.count("*").over(s), "place": F.row_number().over(s.orderBy(*_order(seed, id_col)))})
-    quota = F.greatest(F.lit(1), F.bround(F.lit(size) * F.col("n_stratum") / F.col("n_group")).cast("long"))
-    x = x.where(F.col("place") <= F.least(quota, F.col("n_stratum"))).withColumn("i", F.row_number().over(g.orderBy(*strata, "place")))
-    return x.where(F.col("i") <= size).drop("n_group", "n_stratum", "place", "i")
+    g = Window.partitionBy(*group)
+    n = df.groupBy(*group, *strata).agg(F.count("*").alias("__n")).withColumn("__group", F.sum("__n").over(g))
+    quota = F.greatest(F.lit(1), F.bround(F.lit(size) * F.col("__n") / F.col("__group")).cast("long"))
+    x = join_groups(in_place(df, [*group, *strata], id_col, seed, size), n.withColumn("__quota", quota), [*group, *strata])
+    # what is left of a group are its quotas
+    x = x.where(F.col("__place") <= F.col("__quota")).withColumn("__i", F.row_number().over(g.orderBy(*strata, "__place")))
+    return x.where(F.col("__i") <= size).drop("__n", "__group", "__quota", "__place", "__size", "__i")
 
 
 def source_capped(df: DataFrame, group: str, source: str, stratum: str, target: int, cap: int, id_col: str, seed: str = "s") -> DataFrame:
-    """For each group `target` rows of which at most `cap` come from one source, spread over the strata of the source; topped up from the rest if short."""
-    s, c = Window.partitionBy(group, source), Window.partitionBy(group, source, stratum)
-    x = df.withColumns({"n_source": F.count("*").over(s), "n_cell": F.count("*").over(c), "place": F.row_number().over(c.orderBy(*_order(seed, id_col)))})
-    take = F.least(F.lit(cap), F.col("n_source"))
-    quota = F.greatest(F.lit(1), F.bround(take * F.col("n_cell") / F.col("n_source")).cast("long"))
-    x = x.withColumn("in_cell", F.col("place") <= quota)
-    i = F.row_number().over(Window.partitionBy(group, source, "in_cell").orderBy(stratum, "place"))
-    x = x.withColumn("first", F.col("in_cell") & (i <= take))
+    """For each group `target` rows of which at most `cap` come from one source, spread over the strata of the source; topped up from the rest if short. `id_col` is a key."""
+    by = [group, source, stratum]
+    # the keys alone are read again and again
+    keys = materialise(df.select(id_col, *by), "keys")
+    n = keys.groupBy(*by).agg(F.count("*").alias("__cell_n")).withColumn("__source_n", F.sum("__cell_n").over(Window.partitionBy(group, source)))
+    take = F.least(F.lit(cap), F.col("__source_n"))
+    n = n.withColumns({"__take": take, "__quota": F.greatest(F.lit(1), F.bround(take * F.col("__cell_n") / F.col("__source_n")).cast("long"))})
+    x = join_groups(in_place(keys, by, id_col, seed, cap), n, by).where(F.col("__place") <= F.col("__quota"))
+    i = F.row_number().over(Window.partitionBy(group, source).orderBy(stratum, "__place"))
+    first = x.withColumn("__i", i).where(F.col("__i") <= F.col("__take")).select(id_col, group)
     # first choice before the rest, each in the order of the draw
-    n = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("first"), *_order(seed + "+", id_col)))
-    return x.withColumn("n", n).where(F.col("n") <= target).withColumn("topped_up", ~F.col("first")).drop("n_source", "n_cell", "place", "in_cell", "first", "n")
+    had = in_place(first, [group], id_col, seed + "+", target)
+    short = first.groupBy(group).agg(F.count("*").alias("__had")).where(F.col("__had") < target)
+    others = join_groups(keys.select(id_col, group).join(first.select(id_col), id_col, "left_anti"), short, [group])
+    rest = in_place(others, [group], id_col, seed + "+", target).where(F.col("__place") + F.col("__had") <= target)
+    chosen = had.select(id_col, F.lit(False).alias("topped_up")).union(rest.select(id_col, F.lit(True).alias("topped_up")))
+    return df.join(chosen, id_col).select(*df.columns, "topped_up")
 
 
 def band(probability: Column | str, threshold: float) -> Column:
@@ -129,19 +157,15 @@ def calibration_split(df: DataFrame, strata: list[str], fraction: float, id_col:
     """'calibration' or 'test' for every row, stratified; each stratum has both. Strata of one row are refused when the result is read."""
     if not 0.1 <= fraction <= 0.8:
         raise ValueError("the fraction must be between 0.1 and 0.8")
-    w = Window.partitionBy(*strata)
-    n = F.count("*").over(w)
-    quota = F.least(F.col("n") - 1, F.greatest(F.lit(1), F.bround(F.col("n") * F.lit(fraction)).cast("long")))
-    x = df.withColumns({"n": n, "place": F.row_number().over(w.orderBy(*_order(seed, id_col)))})
-    ok = F.assert_true(F.col("n") > 1, "a stratum has fewer than two rows")
-    part = F.when(ok.isNull() & (F.col("place") <= quota), "calibration").otherwise("test")
-    return x.withColumn("part", part).drop("n", "place")
+    quota = F.least(F.col("__size") - 1, F.greatest(F.lit(1), F.bround(F.col("__size") * F.lit(fraction)).cast("long")))
+    ok = F.assert_true(F.col("__size") > 1, "a stratum has fewer than two rows")
+    part = F.when(ok.isNull() & (F.col("__place") <= quota), "calibration").otherwise("test")
+    return in_place(df, strata, id_col, seed).withColumn("part", part).drop("__size", "__place")
 
 
 def folds(df: DataFrame, strata: list[str], k: int, id_col: str, seed: str = "s") -> DataFrame:
     """Stratified fold numbers 0 .. k - 1."""
-    w = Window.partitionBy(*strata).orderBy(*_order(seed, id_col))
-    return df.withColumn("fold", F.pmod(F.row_number().over(w) - 1, F.lit(k)))
+    return in_place(df, strata, id_col, seed).withColumn("fold", F.pmod(F.col("__place") - 1, F.lit(k)).cast("int")).drop("__size", "__place")
 
 
 def resamples(df: DataFrame, repeats: int, share: float, id_col: str, seed: str = "s") -> DataFrame:

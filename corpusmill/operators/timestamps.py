@@ -63,7 +63,7 @@ def normalise(
     """All rows and columns of df plus {prefix}utc_s, _column, _format, _explicit_zone, _posterior and _ambiguous.
 
     {prefix}utc_s is the instant in whole seconds since 1970 (fractions cut off) of the first of `columns`
-    that is a date; NULL where none is (then the others are NULL too). An explicit offset or zone is
+    that is a date; NULL where none is (then the others are NULL too). A format whose prior is 0 makes no date. An explicit offset or zone is
     obeyed; otherwise the time is wall time in the country's capital, the first of two if it occurs twice,
     moved forward if it is skipped. A NULL source is a source of its own, a NULL or unknown country means
     UTC. New columns replace any of the same name; an empty table gives an empty result.
@@ -74,10 +74,13 @@ def normalise(
     key = F.coalesce(F.col(source).cast("string"), F.lit(""))
     row = base.select("*", F.struct(*[F.col(f"`{c}`").cast("string").alias(f"v{i}") for i, c in enumerate(given)], F.col(country).cast("string").alias("country")).alias("__in"), key.alias("__source"))
 
+    possible = {f for f, p in prior.items() if p > 0}
+
     def read(s: pd.DataFrame) -> pd.DataFrame:
         out = []
         for *values, place in s.itertuples(index=False):
-            got = [readings(v, place) for v in values]
+            # a reading that the prior rules out is none: a column with no other is no date
+            got = [[r for r in readings(v, place) if r[0] in possible] for v in values]
             i = next((k for k, g in enumerate(got) if g), None)
             if i is None:
                 out.append((None, None, None, None, None))
@@ -103,8 +106,7 @@ def normalise(
 
     weights = counts.groupBy("__source").applyInArrow(fit, "__source string, __w map<string,double>")
     j = parsed.join(weights, "__source", "left")
-    allowed = F.create_map(*[x for f, p in prior.items() for x in (F.lit(f), F.lit(float(p > 0)))])
-    score = F.transform(F.col("__r.formats"), lambda f, k: F.coalesce(F.col("__w")[f], F.lit(0.0)) * allowed[f] * F.col("__r.like")[k])
+    score = F.transform(F.col("__r.formats"), lambda f, k: F.coalesce(F.col("__w")[f], F.lit(0.0)) * F.col("__r.like")[k])
     j = j.withColumn("__s", score).withColumn("__t", F.aggregate("__s", F.lit(0.0), lambda a, x: a + x)).withColumn("__k", F.array_position("__s", F.array_max("__s")).cast("int") - 1)
     at = lambda c: F.when(F.col("__t") > 0, F.get(F.col(f"__r.{c}"), F.col("__k")))
     posterior = F.when(F.col("__t") > 0, F.try_divide(F.array_max("__s"), F.col("__t")))

@@ -57,9 +57,8 @@ def class_tfidf(df: DataFrame, label: str, tokens: str, k: int = 10) -> DataFram
     t = df.select(label, F.explode(F.concat(F.col(tokens), F.when(F.size(tokens) > 1, two).otherwise(F.array().cast("array<string>")))).alias("term"))
     n = t.groupBy(label, "term").agg(F.count("*").alias("tf"))
     n = n.withColumn("f", F.sum("tf").over(Window.partitionBy("term")))
-    sizes = n.groupBy(label).agg(F.sum("tf").alias("size")).agg(F.avg("size").alias("mean"))
-    j = n.withColumn("__k", F.lit(1)).join(sizes.withColumn("__k", F.lit(1)), "__k").drop("__k")
-    s = j.withColumn("score", F.round(F.col("tf") * F.log1p(F.col("mean") / F.col("f")), 6))
+    mean = t.groupBy(label).agg(F.count("*").alias("size")).agg(F.avg("size")).scalar()
+    s = n.withColumn("score", F.round(F.col("tf") * F.log1p(mean / F.col("f")), 6))
     s = s.withColumn("rank", F.row_number().over(Window.partitionBy(label).orderBy(F.desc("score"), "term")))
     return s.where(F.col("rank") <= k).select(label, "rank", "term", "tf", "score")
 

@@ -10,7 +10,7 @@ from corpusmill.functions import text as T
 from corpusmill.operators import corpus, records, screening
 from corpusmill.plans import base as B
 from corpusmill.plans import sqltext as S
-from corpusmill.session import spread, table
+from corpusmill.session import table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -34,14 +34,25 @@ SELECT row_seq, country, trim(uri) AS uri, source_uri, CAST(n AS INTEGER) AS wor
 """)
 def clean_articles(spark: SparkSession, d: str) -> DataFrame:
     """Cleaning of downloaded rows: flags, text, least length, hashes (without re-reading wrong encodings, which SQL lacks)."""
-    raw = spread(table(spark, d, "raw_news")).withColumn("uri", F.regexp_replace(F.coalesce("uri", F.lit("")), f"^[{T.SPACE}]+|[{T.SPACE}]+$", ""))
+    raw = table(spark, d, "raw_news").withColumn("uri", F.regexp_replace(F.coalesce("uri", F.lit("")), f"^[{T.SPACE}]+|[{T.SPACE}]+$", ""))
     return corpus.clean(raw, 80, 0, repair=False).select("row_seq", "country", "uri", "source_uri", "word_count", F.sha2("article_text", 256).alias("text_sha"), "text_hash")
 
 
 @query()
 def clean_articles_repaired(spark: SparkSession, d: str) -> DataFrame:
     """The same with whole texts of UTF-8 read as Latin-1 read again."""
-    return corpus.clean(spread(table(spark, d, "raw_news")), 80, 200).select("row_seq", "country", "uri", "source_uri", "date_parsed", "year", "month", "week", "article_text", "word_count", "text_hash", "near_dup_hash")
+    return corpus.clean(table(spark, d, "raw_news"), 80, 200).select("row_seq", "country", "uri", "source_uri", "date_parsed", "year", "month", "week", "article_text", "word_count", "text_hash", "near_dup_hash")
+
+
+@query(f"""
+WITH r AS (SELECT row_seq, body AS x, {S.read_again('body')} AS y FROM raw_news),
+m AS (SELECT row_seq, x, y, {S.markers('y')} < {S.markers('x')} AS again FROM r)
+SELECT row_seq, sha256(CASE WHEN again THEN y ELSE x END) AS text_sha, coalesce(again, false) AS changed FROM m
+""")
+def repaired_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Every body, read again where it is UTF-8 shown as Latin-1 or cp1252 as a whole."""
+    x = table(spark, d, "raw_news").select("row_seq", "body", T.repair_marked("body").alias("again"))
+    return x.select("row_seq", F.sha2("again", 256).alias("text_sha"), F.coalesce(F.col("again") != F.col("body"), F.lit(False)).alias("changed"))
 
 
 @query(f"WITH {B.CORPUS} SELECT row_seq, country, uri, text_hash FROM corpus")
@@ -97,7 +108,7 @@ FROM documents
 """)
 def normal_forms(spark: SparkSession, d: str) -> DataFrame:
     """Hashes of the normal forms of every document."""
-    return spread(table(spark, d, "documents")).select(
+    return table(spark, d, "documents").select(
         "doc_id", T.content_hash("text").alias("content_hash"), T.text_hash("text").alias("text_hash"), T.overlap_hash("text").alias("overlap_hash"),
         T.stripped_hash("text").alias("stripped_hash"), T.word_count("text").alias("word_count"), T.prefix_hash("text", 20).alias("prefix_hash"),
     )

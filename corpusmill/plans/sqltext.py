@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from corpusmill.functions.names import COUNTRIES, LABELS
-from corpusmill.functions.text import MISSING
+from corpusmill.functions.text import CONTROLS, MARKERS, MISSING, PRINTED
 
 WS = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}\x{0b}]"
 _MISSING = ", ".join(f"'{x}'" for x in MISSING)
@@ -30,6 +30,17 @@ def word_count(c: str) -> str:
     return f"len(list_filter(string_split({collapse(c)}, ' '), lambda x: x <> ''))"
 
 
+def markers(c: str) -> str:
+    return f"(length({c}) - length(translate({c}, '{''.join(MARKERS)}', '')))"
+
+
+def read_again(c: str) -> str:
+    possible = rf"regexp_matches({c}, '^[\x{{00}}-\x{{ff}}{PRINTED}]*$') AND NOT (regexp_matches({c}, '[{PRINTED}]') AND regexp_matches({c}, '[\x{{80}}-\x{{9f}}]'))"
+    controls = "".join(f"' || chr({ord(x)}) || '" for x in CONTROLS)
+    bits = f"array_to_string(list_transform(string_split(translate({c}, '{PRINTED}', '{controls}'), ''), lambda z: printf('%02x', unicode(z))), '')"
+    return f"CASE WHEN {markers(c)} > 0 AND {possible} THEN try(decode(unhex({bits}))) END"
+
+
 def identifier(c: str) -> str:
     return f"CASE WHEN lower({strip(c)}) IN ({_MISSING}) THEN '' ELSE {strip(c)} END"
 

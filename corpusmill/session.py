@@ -77,22 +77,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-#: Files up to this size may be a single row group, which one task would read alone.
-SMALL_FILE = 64 << 20
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """A table of one small file over all cores, for work on long texts; any larger table as it is read."""
-    spark = df.sparkSession
-    files = df.inputFiles()
-    cores = spark.sparkContext.defaultParallelism
-    if len(files) != 1 or cores < 2:
-        return df
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0])
-    size = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
-    return df.repartition(cores) if size <= SMALL_FILE else df
-
-
 #: Applications whose workers have the package.
 _SHIPPED: set[str] = set()
 

@@ -135,9 +135,15 @@ def tarball(files: list[str], path: str) -> str:
     return path
 
 
+#: Rows of a report table, at most.
+MOST_LINES = 10_000
+
+
 def latex_table(df: DataFrame, caption: str, label: str, note: str = "", digits: int = 2) -> str:
-    """A report table (a small result) as LaTeX; text is escaped and never cut."""
-    rows = df.collect()
+    """A report table (a small result) as LaTeX; text is escaped and never cut. More than MOST_LINES rows are refused."""
+    rows = df.limit(MOST_LINES + 1).collect()
+    if len(rows) > MOST_LINES:
+        raise ValueError(f"a report table has at most {MOST_LINES} rows")
     show = lambda v: f"{v:,.{digits}f}" if isinstance(v, float) else f"{v:,}" if isinstance(v, int) and not isinstance(v, bool) else latex(v)
     kinds = "".join("r" if t in ("int", "bigint", "double", "float") or t.startswith("decimal") else "l" for _, t in df.dtypes)
     lines = [r"\begin{table}[htbp]", r"\centering", rf"\caption{{{latex(caption)}}}", rf"\label{{{label}}}", rf"\begin{{tabular}}{{{kinds}}}", r"\toprule"]

@@ -37,25 +37,42 @@ def sessions(stream: DataFrame, time: str, by: str, gap: str = "30 minutes", del
     return g.select(by, F.col("s.start").alias("began"), F.col("s.end").alias("ended"), "n")
 
 
-def keep_last_sink(spark: SparkSession, path: str, key: str, order: str):
-    """A foreachBatch function: each batch is merged into a table of which versions are written side by side; `current` names the last."""
+#: Buckets of a merged table; a batch rewrites those that its keys are in.
+BUCKETS = 256
+
+
+def keep_last_sink(spark: SparkSession, path: str, key: str, order: str, buckets: int = BUCKETS):
+    """A foreachBatch function: each batch is merged into a table of buckets by key.
+
+    A batch writes a new version of the buckets that its keys fall into, beside the older ones; `current` reads the
+    last version of each. The number of buckets belongs to the table and must not change.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        now = current(spark, path, number)
-        both = batch if now is None else now.unionByName(batch, allowMissingColumns=True)
-        # a batch that is run again starts from the same version and writes the same one
-        keep_last(both, [key], [order]).write.mode("overwrite").parquet(f"{path}/v{number:012d}")
+        b = batch.withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        touched = sorted(r[0] for r in b.select("__bucket").distinct().collect())
+        now = current(spark, path, number, touched)
+        if now is not None:
+            b = now.withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).unionByName(b, allowMissingColumns=True)
+        # a batch that is run again starts from the same versions and writes the same one
+        keep_last(b, [key], [order]).repartition("__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(f"{path}/v{number:012d}")
 
     return write
 
 
-def current(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The last whole version of such a table, or the last before a batch."""
+def current(spark: SparkSession, path: str, before: int | None = None, only: list[int] | None = None) -> DataFrame | None:
+    """The rows of such a table: the last whole version of each bucket (or of some), or the last before a batch; None if there is none."""
     jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p):
+    at = jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at(path)):
         return None
-    done = sorted(s.getPath().toString() for s in fs.listStatus(p) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
-    done = [v for v in done if before is None or int(v.rpartition("/v")[2]) < before]
-    return spark.read.parquet(done[-1]) if done else None
+    versions = sorted((s.getPath().toString() for s in fs.listStatus(at(path)) if fs.exists(at(s.getPath(), "_SUCCESS"))), reverse=True)
+    last: dict[int, str] = {}
+    for v in versions:
+        if before is None or int(v.rpartition("/v")[2]) < before:
+            for s in fs.listStatus(at(v)):
+                name = s.getPath().getName()
+                if name.startswith("__bucket=") and (only is None or int(name[9:]) in only):
+                    last.setdefault(int(name[9:]), s.getPath().toString())
+    return spark.read.option("mergeSchema", "true").parquet(*last.values()) if last else None

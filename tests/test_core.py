@@ -41,6 +41,23 @@ def test_repair_of_marked_texts(spark):
     assert got == ["rédaction", "rédaction", "Ñandorel", "Кожен", None, ""]
 
 
+def test_reading_again_agrees_with_python(spark):
+    whole = ["été “à l’Île €", "Кожен суд", "naïve", "ça", "Ñandú", "plain", "\x85\x9d"]
+    v = [*whole, *(x.encode().decode("latin1") for x in whole), *(x.encode().decode("cp1252") for x in whole[:1]), "Ã©\x85€", "Ã(", "É", "Ð ж", "ï¿½Ã©", None, ""]
+
+    def best(x):
+        readings = [x]
+        for e in ("latin1", "cp1252"):
+            try:
+                readings.append(x.encode(e).decode())
+            except UnicodeError:
+                pass
+        return min(readings, key=lambda y: sum(y.count(m) for m in T.MARKERS))
+
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in v], "t string").select(T.repair_marked("t")).collect()]
+    assert got == [None if x is None else best(x) for x in v]
+
+
 def test_identifiers_and_hashes(spark):
     df = spark.createDataFrame([(x,) for x in [" NaN ", "<NA>", None, " u1 ", "none"]], "u string")
     assert [r[0] for r in df.select(T.identifier("u")).collect()] == ["", "", "", "u1", ""]
@@ -297,8 +314,37 @@ def test_mixture_of_formats(spark):
     assert timestamps.normalise(df.limit(0)).count() == 0
 
 
+def test_impossible_day_first_dates_are_no_dates(spark):
+    rows = [(1, "a.example", "01/25/2024 10:00", "2024-01-25T09:00:00Z", "France"), (2, "a.example", "25/01/2024 10:00", "2024-01-26T09:00:00Z", "France"), (3, None, "01/25/2024", "13.13.2024", "France")]
+    df = spark.createDataFrame(rows, "row_seq long, source_uri string, dateTime string, dateTimePub string, country string")
+    got = {r.row_seq: (r.ts_utc_s, r.ts_column) for r in timestamps.normalise(df).collect()}
+    assert got == {1: (U(2024, 1, 25, 9), "dateTimePub"), 2: (U(2024, 1, 25, 9), "dateTime"), 3: (None, None)}
+    open_order = {r.row_seq: r.ts_format for r in timestamps.normalise(df, prior=timestamps.DAY_FIRST_PRIOR).collect()}
+    assert open_order == {1: "mdy", 2: "dmy", 3: "mdy"}
+
+
 # labelling
 
+def test_final_errors_of_a_client():
+    final = labelling.Final()
+
+    class AuthenticationError(Exception):
+        pass
+
+    class PermissionDeniedError(Exception):
+        pass
+
+    coded = RuntimeError("refused")
+    coded.code = "model_not_found"
+    for e in (
+        RuntimeError("key not allowed to access model; code=key_model_access_denied"), RuntimeError("code=key_model_access_denied"), RuntimeError("Key not allowed to access model"),
+        RuntimeError("invalid_api_key"), RuntimeError("The model does not exist or you do not have access to it"), RuntimeError("AuthenticationError: 401"), AuthenticationError(), PermissionDeniedError("x"), coded,
+    ):
+        assert final(e)
+    assert not final(RuntimeError("temporary 503")) and not final(ValueError("no JSON object in the answer"))
+    assert labelling.Final(classes=(), codes=("quota",), words=())(RuntimeError("quota")) and not labelling.Final((), (), ())(AuthenticationError())
+
+
 def test_labelling_retries_and_records(spark):
     calls: dict = {}
 
