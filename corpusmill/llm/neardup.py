@@ -36,11 +36,11 @@ SHARED = 4
 #: Width of a class's bitmap in bits.
 BITMAP = 512
 #: Prefix entries in a bucket on average; a bucket is joined by one task.
-BUCKET_ENTRIES = 800_000
+BUCKET_ENTRIES = 500_000
 #: Occurrences of a token, beside those of a usual cell of the sketch, that make one salt.
 HOT = 20_000
 #: Pairs of entries taken at once, and pairs of groups added up at once.
-CHUNK = 2_000_000
+CHUNK = 500_000
 #: Entries that a task holds before it sends them on, and members of one blob.
 HELD, BLOB = 4_000_000, 1 << 16
 _CELLS = 1 << K.SKETCH_BITS
