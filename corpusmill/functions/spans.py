@@ -34,4 +34,4 @@ def spans(text: Column | str, quotes: dict[str, Column | str]) -> Column:
     def run(t: pd.Series, *q: pd.Series) -> pd.Series:
         return pd.Series([find_spans(x, list(zip(names, (y if isinstance(y, str) else "" for y in row)))) for x, *row in zip(t, *q)])
 
-    return F.pandas_udf(run, SCHEMA, F.PandasUDFType.SCALAR)(text, *quotes.values())
+    return F.pandas_udf(run, SCHEMA)(text, *quotes.values())

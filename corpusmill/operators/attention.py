@@ -41,6 +41,12 @@ def series(attention: DataFrame, period: str, window: int = 3) -> DataFrame:
     return rolled.select("country", period, "positives", "total", "attention", F.round("r", DIGITS).alias("rolling"), F.round(F.try_divide("r", "m") * 100, 6).alias("index"))
 
 
+def overall(attention: DataFrame, period: str) -> DataFrame:
+    """All countries together, by period."""
+    g = attention.groupBy(period).agg(F.sum("total").alias("total"), F.sum("positives").alias("positives"), F.countDistinct("country").alias("countries"))
+    return g.withColumn("attention_pct", F.round(F.try_divide(F.col("positives") * 100, F.col("total")), DIGITS))
+
+
 def by_country(attention: DataFrame) -> DataFrame:
     """Totals by country, its share of all positives, and a row 'ALL'."""
     g = attention.rollup("country").agg(F.sum("total").alias("total"), F.sum("positives").alias("positives"), F.grouping("country").alias("g"))

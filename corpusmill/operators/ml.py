@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.operators.sampling import folds
+from corpusmill.session import materialise
 
 
 #: Rows that a task of the optimiser takes.
 ROWS_A_TASK = 2000
+#: Classes that are weighed, at most.
+MOST_CLASSES = 1000
 
 
 def character_ngrams(c: Column | str, low: int = 3, high: int = 5) -> Column:
@@ -46,7 +49,9 @@ def logistic(weights: float) -> LogisticRegression:
 
 def balanced(df: DataFrame, y: str = "y") -> DataFrame:
     """Weights that give both classes the same total: n / (2 * n of the class)."""
-    n = {r[0]: r[1] for r in df.groupBy(y).count().collect()}
+    n = {r[0]: r[1] for r in df.groupBy(y).count().limit(MOST_CLASSES + 1).collect()}
+    if len(n) > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} classes")
     total = sum(n.values())
     w = F.lit(0.0)
     for k, c in n.items():
@@ -85,7 +90,8 @@ def cross_validated(df: DataFrame, id_col: str, text: str, y: str = "y", k: int
     """(id, y, fold, probability): each row scored by a model that hasn't seen it."""
     x = folds(df.select(id_col, F.col(text), F.col(y).alias("y")), ["y"], k, id_col)
     # the n-grams are the same in every fold: they are made once
-    x = x.select(id_col, "y", "fold", character_ngrams(F.coalesce(F.col(text), F.lit(""))).alias("__grams")).cache()
+    x = x.select(id_col, "y", "fold", character_ngrams(F.coalesce(F.col(text), F.lit(""))).alias("__grams"))
+    x = materialise(x, "grams")
     out = None
     for f in range(k):
         m = _fit(x.where(F.col("fold") != f))
@@ -101,7 +107,7 @@ def vectors(df: DataFrame, column: str) -> DataFrame:
 
 def clusters(df: DataFrame, column: str, k: int, seeds: int = 20) -> tuple[DataFrame, float]:
     """Rows with their cluster by the best of `seeds` k-means runs, and the mean silhouette by cosine."""
-    x = vectors(df, column).cache()
+    x = materialise(vectors(df, column), "vectors")
     best = min((KMeans(k=k, seed=s, featuresCol="__features", predictionCol="cluster").fit(x) for s in range(seeds)), key=lambda m: m.summary.trainingCost)
     out = best.transform(x)
     s = ClusteringEvaluator(featuresCol="__features", predictionCol="cluster", distanceMeasure="cosine").evaluate(out)
@@ -130,8 +136,8 @@ def stability(df: DataFrame, id_col: str, column: str, ks: list[int], repeats: i
     from corpusmill.operators.metrics import rand_index
     from corpusmill.operators.sampling import resamples
 
-    x = vectors(df.select(id_col, column), column).cache()
-    drawn = resamples(x.select(id_col), repeats, share, id_col).cache()
+    x = materialise(vectors(df.select(id_col, column), column), "vectors")
+    drawn = materialise(resamples(x.select(id_col), repeats, share, id_col), "drawn")
     out = None
     for k in ks:
         full = KMeans(k=k, seed=1, featuresCol="__features", predictionCol="a").fit(x).transform(x).select(id_col, "a")

@@ -125,7 +125,7 @@ def proportional(df: DataFrame, group: list[str], strata: list[str], size: int,
 
 def source_capped(df: DataFrame, group: str, source: str, stratum: str, target: int, cap: int, id_col: str, seed: str = "s") -> DataFrame:
     """For each group `target` rows of which at most `cap` come from one source, spread over the strata of the source; topped up from the rest if short. `id_col` is a key."""
-    by = [group, source, stratum]
+    by = list(dict.fromkeys([group, source, stratum]))
     # the keys alone are read again and again
     keys = materialise(df.select(id_col, *by), "keys")
     n = keys.groupBy(*by).agg(F.count("*").alias("__cell_n")).withColumn("__source_n", F.sum("__cell_n").over(Window.partitionBy(group, source)))

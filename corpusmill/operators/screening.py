@@ -34,6 +34,11 @@ def summary(screened: DataFrame, by: list[str], kinds: list[str]) -> DataFrame:
     )
 
 
+def wide(screened: DataFrame, by: list[str], kinds: list[str] | None = None) -> DataFrame:
+    """Rows of each group by decision, a column for each decision that occurs (or for the given ones), 0 where there are none."""
+    return screened.groupBy(*by).pivot("source_decision", kinds).count().fillna(0)
+
+
 def unreviewed(screened: DataFrame) -> DataFrame:
     """Sources without a decision: rows, share of the country's rows and rank within the country."""
     n = screened.groupBy("country", "source_key").agg(F.count("*").alias("n_rows"), F.bool_and(F.col("source_decision") == "MISSING").alias("missing"))

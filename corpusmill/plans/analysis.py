@@ -68,6 +68,12 @@ def attention_year(spark: SparkSession, d: str) -> DataFrame:
     return _by(spark, d, "year")
 
 
+@query(f"""WITH {_rolled('year')} SELECT year, sum(total)::BIGINT AS total, sum(positives)::BIGINT AS positives, count(DISTINCT country) AS countries, round(sum(positives) * 100 / sum(total), 9) AS attention_pct FROM att GROUP BY year""")
+def attention_overall(spark: SparkSession, d: str) -> DataFrame:
+    """All countries together, by year."""
+    return A.overall(_by(spark, d, "year"), "year")
+
+
 @query(f"""WITH {_rolled('month')},
 r AS (SELECT *, avg(positives / total) OVER (PARTITION BY country ORDER BY month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS r, avg(positives / total) OVER (PARTITION BY country) AS m FROM att)
 SELECT country, month, positives, total, attention, round(r, 9) AS rolling, round(CASE WHEN m <> 0 THEN r / m * 100 END, 6) AS index FROM r""")

@@ -11,6 +11,7 @@ from corpusmill.operators import corpus, records, screening
 from corpusmill.plans import base as B
 from corpusmill.plans import sqltext as S
 from corpusmill.session import table
+from corpusmill.sources import tables
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -74,6 +75,13 @@ def denominators(spark: SparkSession, d: str) -> DataFrame:
     return corpus.denominators(x)
 
 
+@query(f"WITH {B.CORPUS} SELECT country, count(*) AS total_articles FROM corpus WHERE month IS NOT NULL GROUP BY country")
+def country_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Articles of each country, from whichever table of counts there is: here only that by month."""
+    x = B.corpus_articles(spark, d).groupBy("country", "month").agg(F.count("*").alias("n"))
+    return tables.country_totals({"summary": None, "month": x})
+
+
 @query(f"""
 WITH {B.CORPUS},
 r AS (SELECT {S.country('country')} AS country, count(*) AS raw_rows FROM raw_news GROUP BY 1),
@@ -192,6 +200,18 @@ def screen_summary(spark: SparkSession, d: str) -> DataFrame:
     return screening.summary(_screened(spark, d), ["country"], ["YES", "NO", "MISSING"])
 
 
+_KINDS = ["YES", "NO", "NO;YES", "REVIEW", "MISSING"]
+
+
+@query(f"""
+WITH {_SCREENED}
+SELECT country, {', '.join(f"count(*) FILTER (source_decision = '{k}') AS \"{k}\"" for k in _KINDS)} FROM screened GROUP BY country
+""")
+def screen_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """Articles of each country by the decision on their source, wide."""
+    return screening.wide(_screened(spark, d), ["country"], _KINDS)
+
+
 @query(f"""
 WITH {_SCREENED},
 n AS (SELECT country, source_key, count(*) AS n_rows, bool_and(source_decision = 'MISSING') AS m FROM screened GROUP BY 1, 2),
@@ -266,7 +286,10 @@ def id_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return records.id_fingerprint(table(spark, d, "human_benchmark_split").select("country", T.identifier("uri").alias("uri")), "uri", ["country"])
 
 
-@query()
+@query(f"""
+WITH r AS (SELECT sha256(concat_ws(chr(31), {', '.join(f"coalesce(CAST({c} AS VARCHAR), chr(0))" for c in ("row_seq", "uri", "country", "article_text"))})) AS h FROM cleaned_articles)
+SELECT count(*) AS n_rows, sha256(concat_ws(',', {', '.join(f"coalesce(CAST(sum(CAST('0x' || substr(h, {1 + 15 * i}, 15) AS BIGINT)) AS VARCHAR), '0')" for i in range(4))})) AS fingerprint FROM r
+""")
 def table_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     """A fingerprint of all articles that doesn't depend on their order."""
     return records.fingerprint(table(spark, d, "cleaned_articles"), ["row_seq", "uri", "country", "article_text"])

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.spans import spans
 from corpusmill.operators import labelling, ml, topics
 from corpusmill.plans import base as B
-from corpusmill.session import shared_dir, table
+from corpusmill.session import scratch, table
 from corpusmill.streaming import corpus as stream
 
 QUERIES: dict = {}
@@ -33,10 +32,19 @@ def cross_validated_scores(spark: SparkSession, d: str) -> DataFrame:
     return ml.cross_validated(B.silver(spark, d), "silver_row_id", "article_text")
 
 
+@query()
+def corpus_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Every article with its probability and class, by a model fitted on the labelled rows, stored and read again."""
+    path = scratch(spark, "model")
+    ml.fit_text(B.silver(spark, d), "article_text").write().save(path)
+    articles = table(spark, d, "cleaned_articles").select("row_seq", "country", "article_text")
+    return ml.score_text(PipelineModel.load(path), articles, "article_text").select("row_seq", "country", F.round("probability", 6).alias("probability"), "predicted")
+
+
 @query()
 def embedding_clusters(spark: SparkSession, d: str) -> DataFrame:
     """K-means clusters of all vectors."""
-    return ml.clusters(table(spark, d, "embeddings"), "embedding", 10, 5)[0].select("vec_id", "label", "cluster")
+    return ml.clusters(table(spark, d, "embeddings"), "embedding", 10)[0].select("vec_id", "label", "cluster")
 
 
 @query()
@@ -65,7 +73,7 @@ WITH g AS (SELECT event_type, date_trunc('week', ts) AS week, count(*) AS n FROM
 SELECT event_type, week, n FROM g WHERE week + INTERVAL 7 DAY <= (SELECT max(ts) - INTERVAL 7 DAY FROM events)""")
 def stream_weekly_counts(spark: SparkSession, d: str) -> DataFrame:
     """Weekly counts from the stream: the weeks that the watermark has passed."""
-    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    path = scratch(spark, "stream")
     x = stream.read(spark, f"{d}/events*.parquet", table(spark, d, "events").schema)
     _run(stream.weekly_counts(x.withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"]), spark, path)
     return spark.read.parquet(f"{path}/out").select("event_type", F.col("week").cast("timestamp_ntz").alias("week"), "n")
@@ -74,7 +82,7 @@ def stream_weekly_counts(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def stream_deduplicated(spark: SparkSession, d: str) -> DataFrame:
     """Articles of the stream without copies within the watermark."""
-    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    path = scratch(spark, "stream")
     x = stream.read(spark, f"{d}/cleaned_articles*.parquet" if not _folder(d) else f"{d}/cleaned_articles.parquet", table(spark, d, "cleaned_articles").schema)
     # arrival order stands for time: rows arrive long after their date
     x = x.select("country", "uri", "article_text", "row_seq", F.timestamp_seconds("row_seq").alias("arrived"))
@@ -86,7 +94,7 @@ def stream_deduplicated(spark: SparkSession, d: str) -> DataFrame:
 SELECT user_id, max_by(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id""")
 def stream_keep_last(spark: SparkSession, d: str) -> DataFrame:
     """The last event of each user, merged batch by batch."""
-    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    path = scratch(spark, "stream")
     x = stream.read(spark, f"{d}/events*.parquet", table(spark, d, "events").schema).select("user_id", "event_type", "event_id")
     x.writeStream.foreachBatch(stream.keep_last_sink(spark, f"{path}/out", "user_id", "event_id")).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     return stream.current(spark, f"{path}/out").select("user_id", "event_type", "event_id")

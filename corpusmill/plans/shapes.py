@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +13,7 @@ from corpusmill.operators import topics as K
 from corpusmill.plans import base as B
 from corpusmill.plans import sqltext as S
 from corpusmill.plans.analysis import _h
-from corpusmill.session import shared_dir, table
+from corpusmill.session import scratch, table
 from corpusmill.sources import documents, tables
 
 QUERIES: dict = {}
@@ -60,14 +58,8 @@ def sample_total_even(spark: SparkSession, d: str) -> DataFrame:
     return P.total_even(B.bench(spark, d).select("bench_row_id", "country", "y"), ["country", "y"], 30, "bench_row_id").select("bench_row_id", "country", "y")
 
 
-@query(f"SELECT doc_id, row_number() OVER (ORDER BY {_h('s', 'doc_id')}, doc_id) AS place FROM documents WHERE source = 'policy-papers'")
-def shuffled_documents(spark: SparkSession, d: str) -> DataFrame:
-    """One source's documents in the order of the draw."""
-    return P.placed(table(spark, d, "documents").where("source = 'policy-papers'").select("doc_id"), "doc_id")
-
-
 @query(f"SELECT doc_id, row_number() OVER (ORDER BY {_h('s', 'doc_id')}, doc_id) AS place FROM documents")
-def shuffled_all_documents(spark: SparkSession, d: str) -> DataFrame:
+def shuffled_documents(spark: SparkSession, d: str) -> DataFrame:
     """All documents in the order of the draw."""
     return P.placed(table(spark, d, "documents").select("doc_id"), "doc_id")
 
@@ -91,7 +83,7 @@ def month_by_country(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT row_seq, country, {S.collapse('article_text')} AS article_text FROM cleaned_articles")
 def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """All articles written as one CSV file a country and read back with their country from the file name."""
-    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    path = scratch(spark, "csv")
     x = table(spark, d, "cleaned_articles").select("row_seq", "country", T.collapse("article_text").alias("article_text"))
     x.write.partitionBy("country").option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
     return spark.read.option("basePath", path).csv(f"{path}/country=*", header=True, multiLine=True, escape='"').select(F.col("row_seq").cast("long").alias("row_seq"), "country", F.coalesce("article_text", F.lit("")).alias("article_text"))
@@ -100,7 +92,7 @@ def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_id, user_id, event_type, value FROM events")
 def json_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """All events written as JSON lines and read back with a schema."""
-    path = f"{shared_dir(spark)}/json-{uuid.uuid4().hex}"
+    path = scratch(spark, "json")
     table(spark, d, "events").select("event_id", "event_type", "user_id", "value").write.mode("append").json(path)
     return tables.json_lines(spark, path, "event_id long, user_id long, event_type string, value double").where("_corrupt is null").drop("_corrupt")
 
@@ -127,12 +119,18 @@ def years_in_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", documents.year_of_name(name).alias("year"))
 
 
-@query("""SELECT row_seq AS url, 'https://' || lower(trim("source.uri")) || '/data.csv' AS href, 3 AS score FROM raw_news WHERE trim("source.uri") <> '' AND NOT regexp_matches("source.uri", '["''#]')""")
+@query("""
+WITH r AS (SELECT row_seq, regexp_replace(lower(trim(coalesce("source.uri", ''))), '#.*', '') AS o FROM raw_news),
+l AS (SELECT row_seq, CASE WHEN contains("source.uri", '#') THEN trim('https://' || o) ELSE 'https://' || o || '/data.csv' END AS href FROM raw_news JOIN r USING (row_seq)),
+s AS (SELECT row_seq, href, CASE WHEN contains(href, 'data') THEN 2 ELSE 0 END + CASE WHEN contains(href, '.csv') THEN 1 ELSE 0 END AS score FROM (SELECT * FROM l UNION ALL SELECT row_seq, '/about' FROM raw_news))
+SELECT row_seq AS url, href, score FROM s QUALIFY row_number() OVER (PARTITION BY row_seq ORDER BY score DESC, href) = 1""")
 def page_links(spark: SparkSession, d: str) -> DataFrame:
-    """The best link of each page."""
-    r = table(spark, d, "raw_news").where(F.trim(F.col("`source.uri`")) != "")
-    r = r.where(~F.col("`source.uri`").rlike("[\"'#]"))
-    html = F.concat(F.lit("<p><a href='/about'>a</a> <A HREF = \"https://"), F.lower(F.trim(F.col("`source.uri`"))), F.lit("/data.csv\">b</A></p>"))
+    """The best link of each page; the pages are made of every row's outlet, as its attribute must be written."""
+    r = table(spark, d, "raw_news")
+    o = F.lower(F.trim(F.coalesce(F.col("`source.uri`"), F.lit(""))))
+    for char, entity in (("&", "&amp;"), ('"', "&quot;"), ("'", "&#39;")):
+        o = F.replace(o, F.lit(char), F.lit(entity))
+    html = F.concat(F.lit("<p><a href='/about'>a</a> <A HREF = \"https://"), o, F.lit("/data.csv\">b</A></p>"))
     return documents.links(r.select(F.col("row_seq").alias("page"), html.alias("html")), "html", "page", {"data": 2, ".csv": 1}).where("rank = 1").select("url", "href", "score")
 
 
@@ -158,7 +156,7 @@ def embedding_silhouette(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def clustering_stability(spark: SparkSession, d: str) -> DataFrame:
     """How stable k-means is on resamples, by number of clusters."""
-    return ml.stability(table(spark, d, "embeddings"), "vec_id", "embedding", [5, 10])
+    return ml.stability(table(spark, d, "embeddings"), "vec_id", "embedding", [5, 10], repeats=5)
 
 
 _CANDIDATES = [(1, 8, 0.10, 0.20, 0.10, 0.50, 0.70, 0.2, 0.3), (2, 3, 0.10, 0.20, 0.10, 0.50, 0.99, 0.9, 0.9), (3, 9, 0.20, 0.20, 0.10, 0.50, 0.80, 0.2, 0.3), (4, 9, 0.10, 0.20, 0.10, 0.50, 0.80, 0.2, 0.3), (5, 9, 0.10, 0.20, 0.10, 0.50, 0.80, 0.2, 0.3)]

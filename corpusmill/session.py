@@ -43,18 +43,23 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + own
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes with `release`, or when the process ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_clean)
+    _WRITTEN.append((spark, path))
+    return path
+
+
 def materialise(df: DataFrame, name: str = "table", partition_by: list[str] | None = None) -> DataFrame:
     """Writes a table into the shared folder and reads it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     w = df.write
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
-    if not _WRITTEN:
-        atexit.register(_clean)
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
@@ -67,9 +72,13 @@ def release(spark: SparkSession) -> None:
 
 
 def _clean() -> None:
-    for _, path in _WRITTEN:
-        if path.startswith("file:") and os.path.isdir(local := path.removeprefix("file://").removeprefix("file:")):
-            shutil.rmtree(local, ignore_errors=True)
+    for spark, path in _WRITTEN:
+        if path.startswith("file:"):
+            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+        elif spark.getActiveSession() is not None:
+            # another file system, as long as there is someone to ask
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -90,8 +90,18 @@ def sheets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def links(pages: DataFrame, html: str, url: str, wanted: dict[str, int]) -> DataFrame:
-    """(url, href, score, rank) of the links of web pages; the score adds the weights of the words that the address has."""
-    x = pages.select(F.col(url).alias("url"), F.explode(F.array_distinct(F.expr(f"regexp_extract_all({html}, '(?i)href\\\\s*=\\\\s*[\"\\']([^\"\\'#]+)', 1)"))).alias("href"))
+    """(url, href, score, rank) of the links of web pages; the score adds the weights of the words that the address has.
+
+    An attribute may be in either kind of quotation marks, its character entities are read, and what follows a # is no
+    part of the address.
+    """
+    either = "(?i)href\\\\s*=\\\\s*(\"[^\"]*\"|\\'[^\\']*\\')"
+    x = pages.select(F.col(url).alias("url"), F.explode(F.array_distinct(F.expr(f"regexp_extract_all({html}, '{either}', 1)"))).alias("href"))
+    # a numeric entity holds a # of its own: entities are read first
+    href = F.substring(F.col("href"), F.lit(2), F.length("href") - 2)
+    for entity, char in (("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        href = F.replace(href, F.lit(entity), F.lit(char))
+    x = x.select("url", F.trim(F.substring_index(href, "#", 1)).alias("href")).where("href <> ''").distinct()
     low = F.lower("href")
     score = sum((F.when(F.contains(low, F.lit(w.lower())), n).otherwise(0) for w, n in wanted.items()), F.lit(0))
     from pyspark.sql import Window

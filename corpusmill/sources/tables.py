@@ -92,6 +92,26 @@ def coverage_counts(df: DataFrame, country: str | None = None) -> DataFrame:
     return x.where("week is not null and n is not null and country is not null").groupBy("country", "week").agg(F.sum("n").cast("long").alias("total_news_articles"))
 
 
+#: Names that the column of a country's articles may have, best first, and the tables that may hold it (fixed values).
+TOTALS = ["total_articles", "corruption_query_articles", "count", "n"]
+LEVELS = ["summary", "total", "year", "month", "week"]
+
+
+def country_totals(counts: dict[str, DataFrame | None]) -> DataFrame:
+    """(country, total_articles) from the first usable table of counts: a summary with input_rows, the total, or one by year, month or week, added up.
+
+    Countries that are NULL are kept; without a usable table it is an error.
+    """
+    for level in LEVELS:
+        df = counts.get(level)
+        known = ["input_rows"] if level == "summary" else ["total_articles"] if level == "total" else TOTALS
+        found = [c for c in known if df is not None and {c, "country"} <= set(df.columns)]
+        if found:
+            n = F.col(found[0]).cast("long")
+            return df.select("country", n.alias("total_articles")) if level in ("summary", "total") else df.groupBy("country").agg(F.sum(n).alias("total_articles"))
+    raise FileNotFoundError(f"no table of counts among {LEVELS} has countries and a count")
+
+
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """An audit log; lines that are no JSON have their text in _corrupt."""
     return spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)

@@ -1,5 +1,6 @@
 """Core operators on small tables, with values worked out by hand."""
 
+import hashlib
 import datetime as dt
 import json
 
@@ -420,3 +421,37 @@ def test_shared_tables(spark):
     assert rows(t, "n") == [(0,), (1,), (2,)] and os.path.exists(path) and path.startswith(folder.removeprefix("file://"))
     release(spark)
     assert not os.path.exists(path)
+
+
+def test_places_of_a_whole_table(spark):
+    df = spark.range(5000).toDF("doc_id").repartition(7)
+    got = sampling.placed(df, "doc_id").collect()
+    want = sorted(range(5000), key=lambda i: hashlib.sha256(f"s#{i}".encode()).hexdigest())
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.place)] == want and {r.place for r in got} == set(range(1, 5001))
+
+
+def test_places_in_hot_and_null_groups(spark):
+    rows = [(i, None if i % 7 == 0 else "hot" if i % 3 else f"g{i % 5}", i % 2) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, g string, s int").repartition(5)
+    want = {}
+    for g in {r[1] for r in rows}:
+        drawn = sorted((i for i, h, _ in rows if h == g), key=lambda i: hashlib.sha256(f"s#{i}".encode()).hexdigest())
+        want |= {i: (g, k, len(drawn)) for k, i in enumerate(drawn, 1)}
+    assert {r.id: (r.g, r["__place"], r["__size"]) for r in sampling.in_place(df, ["g"], "id").collect()} == want
+    few = {r.id for r in sampling.fixed(df, ["g"], 4, "id").collect()}
+    assert few == {i for i, (_, k, _) in want.items() if k <= 4}
+    capped = sampling.source_capped(df, "g", "s", "s", 30, 10, "id").collect()
+    assert len(capped) == sum(min(30, n) for n in {g: n for g, _, n in want.values()}.values()) and len({r.id for r in capped}) == len(capped)
+    assert any(r.topped_up for r in capped)
+    assert sampling.in_place(df.limit(0), ["g"], "id").count() == 0
+
+
+def test_dense_periods_and_bounds(spark, tmp_path):
+    df = spark.createDataFrame([("a", 2020, 1), ("a", 2022, 2), (None, 2021, 3)], "source string, year int, n long")
+    got = {(r.source, r.year): r.n for r in attention.dense(df.where("source is not null"), "source", "year", "n").collect()}
+    assert got == {("a", 2020): 1, ("a", 2022): 2}
+    assert attention.dense(df.limit(0), "source", "year", "n").count() == 0
+    with pytest.raises(Exception, match="more than 2 ids"):
+        records.id_fingerprint(df, "n", [], 2).collect()
+    assert records.id_fingerprint(df, "n").first().ids_sha256 == hashlib.sha256(b"1\n2\n3").hexdigest()
+    assert records.id_fingerprint(df.limit(0), "n").first().n_ids == 0
