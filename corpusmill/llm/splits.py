@@ -1,4 +1,8 @@
-"""Splits that keep related records together: outlets as components, balanced by largest differencing."""
+"""Splits that keep related records together: outlets as components, balanced by largest differencing.
+
+The components are the outlets: all spellings of one web host. They are worked out once for each different spelling;
+`same_outlet` lists the spellings that a component joins, and `split` balances the components.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.web import outlet_of
+from corpusmill.session import materialise
 
 #: Small outlets share this many hashed cells; an outlet above 1 / CELLS of all rows is an item of its own,
 #: so the driver balances at most twice as many items, whatever the number of outlets.
@@ -17,10 +22,15 @@ CELLS = 4096
 BINS = 64
 
 
+def components(df: DataFrame, column: str) -> DataFrame:
+    """(spelling, outlet): the component of each different value of a column; values that name no outlet are in none."""
+    return df.select(F.col(column).cast("string").alias("spelling")).where("spelling is not null").distinct().withColumn("outlet", outlet_of("spelling")).where("outlet is not null")
+
+
 def same_outlet(df: DataFrame, column: str) -> DataFrame:
-    """(source_a, source_b), source_a < source_b: different spellings of the same outlet."""
-    v = df.select(F.col(column).cast("string").alias("v")).where("v is not null").distinct().withColumn("o", outlet_of("v")).where("o is not null")
-    return v.toDF("source_a", "o").join(v.toDF("source_b", "o"), "o").where("source_a < source_b").select("source_a", "source_b")
+    """(source_a, source_b), source_a < source_b: different spellings in one component."""
+    c = components(df, column)
+    return c.toDF("source_a", "o").join(c.toDF("source_b", "o"), "o").where("source_a < source_b").select("source_a", "source_b")
 
 
 def largest_differencing(weights: dict, bins: int) -> list[list]:
@@ -60,9 +70,9 @@ def split(df: DataFrame, id_col: str, source: str, shares: dict[str, float], bin
     proportions are then as near as whole outlets allow. Repeated rows all come out; an empty table gives
     an empty result.
     """
-    rows = df.select(F.col(id_col), outlet_of(F.col(source).cast("string")).alias("outlet"))
+    rows = df.select(F.col(id_col), F.col(source).cast("string").alias("spelling")).join(components(df, source), "spelling", "left").drop("spelling")
     unit = F.coalesce(F.concat(F.lit("o:"), F.col("outlet")), F.concat(F.lit("r:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    keyed = rows.withColumn("unit", unit).withColumn("cell", F.pmod(F.xxhash64(F.lit(seed), "unit"), F.lit(CELLS)).cast("int"))
+    keyed = materialise(rows.select(id_col, "outlet", F.pmod(F.xxhash64(F.lit(seed), unit), F.lit(CELLS)).cast("int").alias("cell")), "components")
     named = keyed.where("outlet is not null").groupBy("outlet", "cell").agg(F.count("*").alias("n"))
     total = keyed.agg(F.count("*")).first()[0]
     heavy = {r.outlet: r.n for r in named.where(F.col("n") * CELLS > total).select("outlet", "n").collect()}

@@ -37,3 +37,43 @@ g AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS g FROM i, un
 h AS (SELECT doc_id, array_to_string(w[k:k + 11], ' ') AS g FROM d, unnest(range(1, len(w) - 10)) AS x(k))
 SELECT DISTINCT doc_id, item_id FROM g JOIN h USING (g)
 """
+
+SQL["p1_report"] = f"""
+WITH e AS (SELECT bench_row_id AS id, evaluation_split AS split, source_uri AS source, {_URI} AS u, {_WORDS.format('article_text')} AS w FROM human_benchmark_split),
+t AS (SELECT silver_row_id AS id, {_URI} AS u, {_WORDS.format('article_text')} AS w FROM silver),
+es AS (SELECT DISTINCT id, hash(w[i], w[i + 1], w[i + 2]) AS h FROM e, unnest(range(1, len(w) - 1)) AS x(i)),
+ts AS (SELECT DISTINCT id, hash(w[i], w[i + 1], w[i + 2]) AS h FROM t, unnest(range(1, len(w) - 1)) AS x(i)),
+en AS (SELECT id, count(*) AS n FROM es GROUP BY id),
+tn AS (SELECT id, count(*) AS n FROM ts GROUP BY id),
+p AS (SELECT es.id AS a, ts.id AS b, count(*) AS c FROM es JOIN ts USING (h) GROUP BY ALL),
+alike AS (SELECT a, b, false AS by_uri, c / (en.n + tn.n - c) AS s FROM p JOIN en ON en.id = a JOIN tn ON tn.id = b WHERE c >= 0.5 * (en.n + tn.n - c)),
+met AS (SELECT a, b, bool_or(by_uri) AS by_uri, max(s) AS s FROM (SELECT * FROM alike UNION ALL SELECT DISTINCT e.id, t.id, true, NULL FROM e JOIN t USING (u)) GROUP BY a, b)
+SELECT split, source, count(*) AS pairs, count(DISTINCT a) AS eval_records, count(DISTINCT b) AS train_records, count(*) FILTER (by_uri) AS same_uri,
+  count(*) FILTER (s = 1) AS same_text, count(*) FILTER (s < 1) AS near_text
+FROM met JOIN e ON e.id = a GROUP BY split, source
+"""
+
+SQL["p8_spans"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, {_WORDS.format('item_text')} AS w FROM eval_items),
+g AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS g FROM i, unnest(range(1, len(w) - 10)) AS x(k)),
+h AS (SELECT doc_id, k, array_to_string(w[k:k + 11], ' ') AS g FROM d, unnest(range(1, len(w) - 10)) AS x(k)),
+met AS (SELECT doc_id, item_id, k FROM g JOIN h USING (g))
+SELECT doc_id, item_id, CAST(min(k) - 1 AS INTEGER) AS first_word, CAST(count(DISTINCT k + o) AS INTEGER) AS words FROM met, unnest(range(12)) AS y(o) GROUP BY doc_id, item_id
+"""
+
+SQL["p3_groups"] = f"""
+WITH RECURSIVE w AS (SELECT row_seq, {_WORDS.format('article_text')} AS w FROM cleaned_articles WHERE article_text IS NOT NULL),
+s AS (SELECT DISTINCT row_seq, hash(w[i], w[i + 1], w[i + 2]) AS h FROM w, unnest(range(1, len(w) - 1)) AS t(i)),
+sets AS (SELECT row_seq, list(h ORDER BY h) AS k FROM s GROUP BY row_seq),
+keyed AS (SELECT row_seq, sets.k, CASE WHEN sets.k IS NULL THEN w END AS short FROM w LEFT JOIN sets USING (row_seq) WHERE len(w) > 0),
+named AS (SELECT row_seq, min(row_seq) OVER (PARTITION BY k, short) AS class_id, count(*) OVER (PARTITION BY k, short) AS class_size FROM keyed),
+c AS (SELECT DISTINCT class_id FROM named),
+cs AS (SELECT s.row_seq AS id, h FROM s JOIN c ON c.class_id = s.row_seq),
+n AS (SELECT id, count(*) AS n FROM cs GROUP BY id),
+p AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM cs a JOIN cs b ON a.h = b.h AND a.id <> b.id GROUP BY ALL),
+links AS (SELECT a, b FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE c >= 0.5 * (x.n + y.n - c)),
+reach AS (SELECT class_id AS a, class_id AS b FROM c UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT row_seq, class_id, class_size, coalesce(l.n, 0) AS links, g.group_id FROM named
+LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) l ON l.a = class_id JOIN (SELECT a, min(b) AS group_id FROM reach GROUP BY a) g ON g.a = class_id
+"""

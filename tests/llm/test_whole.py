@@ -1,12 +1,10 @@
 """Operators that must do the whole job: lost bytes, passages in long texts, labels of a language, whole tables."""
 
-import hashlib
 import re
 
 import numpy as np
 
 from corpusmill.llm import counts, encoding, language, queries
-from corpusmill.operators import sampling
 from corpusmill.session import table
 
 
@@ -81,16 +79,3 @@ def test_profile_is_by_language(spark, small):
     assert {r.language for r in got} <= {*language.LANGUAGES, None}
     assert sum(r.documents for r in got) == table(spark, small, "documents").count()
     assert len({(r.source, r.language) for r in got}) == len(got)
-
-
-def test_places_of_a_whole_table(spark):
-    df = spark.range(5000).toDF("doc_id").repartition(7)
-    got = sampling.placed(df, "doc_id").collect()
-    want = sorted(range(5000), key=lambda i: hashlib.sha256(f"s#{i}".encode()).hexdigest())
-    assert [r.doc_id for r in sorted(got, key=lambda r: r.place)] == want and {r.place for r in got} == set(range(1, 5001))
-
-
-def test_all_documents_are_shuffled(spark, small):
-    from corpusmill.plans import shapes
-
-    assert shapes.shuffled_all_documents(spark, small).count() == table(spark, small, "documents").count()
