@@ -54,8 +54,7 @@ def _labelled(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 
 def _languages(spark: SparkSession, d: str):
     t = _labelled(spark, d)
-    channel = encoding.fit(t["cleaned_articles"].select("text").union(t["documents"].select("text")), "text")
-    return t, language.fit(list(t.values())), channel
+    return t, *language.fit_both(list(t.values()))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
