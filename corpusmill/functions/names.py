@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import MISSING
+from corpusmill.functions.text import MISSING, collapse
 from corpusmill.functions.web import outlet_of
 
 #: Spellings of the countries (fixed values).
@@ -41,6 +41,32 @@ def country(c: Column | str) -> Column:
     return F.coalesce(F.try_element_at(_map(COUNTRIES), key), key)
 
 
+#: Names of countries that count tables write in another way (fixed values).
+PLACES = {
+    "UK": "United Kingdom",
+    "United Kingdom of Great Britain and Northern Ireland": "United Kingdom",
+    "United States of America": "United States",
+    "Czech Republic": "Czechia",
+    "Korea, South": "South Korea",
+    "Türkiye": "Turkey",
+}
+_NOTE = r"\([^)]*\)|\[[^\]]*\]|[0-9]+|[*†]"
+
+
+def place(c: Column | str) -> Column:
+    """The country that a cell of a count table names: white space collapsed, without the notes, numbers and signs that follow it, in its usual name; NULL as ''."""
+    x = F.replace(collapse(c), F.lit("_"), F.lit(" "))
+    x = F.regexp_replace(F.regexp_replace(x, rf"(?:\s*(?:{_NOTE}))+\s*$", ""), r"^[\s*†:–—-]+|[\s*†:–—-]+$", "")
+    return F.coalesce(F.try_element_at(_map(PLACES), x), x)
+
+
+def is_place(c: Column | str, wanted: list[str] | None = None) -> Column:
+    """Whether a cell can be the name of a country: at least three characters with a Latin letter, no address and no number to call; with `wanted`, only those names."""
+    x = place(c)
+    ok = (F.length(x) >= 3) & ~x.rlike("(?i)[:@<>]|www[.]|http|fax|phone")
+    return ok & (x.isin(wanted) if wanted is not None else x.rlike("[A-Za-z]"))
+
+
 def source(c: Column | str, decode: bool = False) -> Column:
     """The host that an address names, or 'unknown'; what names no host stays as it is without a last slash.
 

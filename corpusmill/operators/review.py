@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
+from corpusmill.operators.corpus import keep_first
 
 
 def search(df: DataFrame, columns: list[str], needle: str) -> DataFrame:
@@ -74,6 +75,19 @@ def runs(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
 
 
+def append_reviewed(labelled: DataFrame, reviewed: DataFrame, key: str, uri: str, label: str, known: dict[str, int], text: str, fixed: dict[str, str] = {}) -> DataFrame:  # noqa: B006
+    """Labelled rows and reviewed ones below them, the first of each uri kept; rows without a uri count as one each.
+
+    A reviewed label becomes its value in `known`; rows with another label are left out. `fixed` columns are set for
+    all reviewed rows, title and body are split off their text, and columns that they lack are NULL.
+    """
+    y = F.try_element_at(F.create_map(*[F.lit(x) for kv in known.items() for x in kv]), F.lower(F.trim(F.col(label))))
+    title, body = T.title_body(text)
+    new = reviewed.withColumns({label: y, "title": title, "body": body} | {c: F.lit(v) for c, v in fixed.items()}).where(F.col(label).isNotNull())
+    both = labelled.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)), allowMissingColumns=True)
+    return keep_first(both, [uri], ["__new", key], F.coalesce(F.col(uri), F.lit("")) != "").drop("__new")
+
+
 def exactly_one(df: DataFrame) -> DataFrame:
     """The single row of a selection; another number of rows is an error when it is read."""
     # two rows say as much as all of them

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import names as N
 from corpusmill.functions import text as T
-from corpusmill.operators import corpus, records, screening
+from corpusmill.operators import corpus, records, review, screening
 from corpusmill.plans import base as B
 from corpusmill.plans import sqltext as S
 from corpusmill.session import table
@@ -27,6 +27,9 @@ def query(sql: str | None = None):
     return add
 
 
+_LINES = r"list_filter(list_transform(string_split(coalesce(article_text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+
+
 @query(f"""
 WITH r AS (SELECT row_seq, country, {S.strip('uri')} AS uri, lower(trim(coalesce("source.uri", ''))) AS source_uri,
     {S.collapse(f"{S.strip('title')} || chr(10) || {S.strip('body')}")} AS t, lower(trim(coalesce(isDuplicate, ''))) AS f FROM raw_news),
@@ -140,9 +143,6 @@ def normal_names_decoded(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "raw_news").select("row_seq", N.source(corpus.col("source.uri"), decode=True).alias("source"))
 
 
-_LINES = r"list_filter(list_transform(string_split(coalesce(article_text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '')"
-
-
 @query(f"""
 SELECT row_seq, substr(coalesce({_LINES}[1], ''), 1, 300) AS title,
   CASE WHEN len({_LINES}) > 1 THEN array_to_string({_LINES}[2:], chr(10)) ELSE trim(coalesce(article_text, '')) END AS body,
@@ -238,6 +238,32 @@ def silver_pool(spark: SparkSession, d: str) -> DataFrame:
     return records.keep_last(B.silver(spark, d).where("text_hash <> ''"), ["text_hash"], ["silver_row_id"]).select("silver_row_id", "country", "y", "text_hash")
 
 
+@query(f"""
+WITH {B.BENCH},
+r AS (SELECT silver_row_id AS row_id, 'United_Kingdom' AS country, {S.identifier('uri')} AS uri, {S.label_class('llm_label_suggestion')} AS y, article_text FROM silver),
+x AS (SELECT bench_row_id AS row_id, country, uri, y, CAST(NULL AS VARCHAR) AS title, CAST(NULL AS VARCHAR) AS body, 0 AS new FROM bench UNION ALL
+  SELECT row_id, country, uri, y, substr(coalesce({_LINES}[1], ''), 1, 300), CASE WHEN len({_LINES}) > 1 THEN array_to_string({_LINES}[2:], chr(10)) ELSE trim(coalesce(article_text, '')) END, 1 FROM r WHERE y IS NOT NULL)
+SELECT row_id, country, uri, y, title, sha256(body) AS body_sha FROM x QUALIFY uri = '' OR row_number() OVER (PARTITION BY uri ORDER BY new, row_id) = 1
+""")
+def benchmark_appended(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark rows with the labelled rows of a review below them, the first of each uri."""
+    b = B.bench(spark, d).select(F.col("bench_row_id").alias("row_id"), "country", "uri", "y")
+    # of a row that was tried twice both attempts have the same text and uri
+    r = table(spark, d, "silver").select(F.col("silver_row_id").alias("row_id"), T.identifier("uri").alias("uri"), F.col("llm_label_suggestion").alias("y"), "article_text")
+    x = review.append_reviewed(b, r, "row_id", "uri", "y", N.LABELS, "article_text", {"country": "United_Kingdom"})
+    return x.select("row_id", "country", "uri", "y", "title", F.sha2("body", 256).alias("body_sha"))
+
+
+@query(f"""
+WITH p AS (SELECT row_seq, regexp_replace(regexp_replace(replace({S.collapse('country')}, '_', ' '), '(?:[ ]*(?:\\([^)]*\\)|\\[[^\\]]*\\]|[0-9]+|[*†]))+[ ]*$', ''), '^[ *†:–—-]+|[ *†:–—-]+$', '', 'g') AS p FROM raw_news),
+q AS (SELECT row_seq, CASE p {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in N.PLACES.items())} ELSE p END AS place FROM p)
+SELECT row_seq, place, length(place) >= 3 AND NOT regexp_matches(place, '(?i)[:@<>]|www[.]|http|fax|phone') AND regexp_matches(place, '[A-Za-z]') AS is_place FROM q
+""")
+def place_names(spark: SparkSession, d: str) -> DataFrame:
+    """Countries as a count table would name them, and whether a cell can be one."""
+    return table(spark, d, "raw_news").select("row_seq", N.place("country").alias("place"), N.is_place("country").alias("is_place"))
+
+
 @query(f"""
 WITH {B.BENCH}, k AS (SELECT *, row_number() OVER (PARTITION BY nullif(uri, '') ORDER BY CASE human_validation_source WHEN 'original_human_validation' THEN 0 ELSE 1 END, bench_row_id) AS n FROM bench WHERE y IS NOT NULL AND text_hash <> '')
 SELECT bench_row_id, country, uri, y FROM k WHERE n = 1

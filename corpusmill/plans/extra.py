@@ -79,6 +79,19 @@ def stream_weekly_counts(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{path}/out").select("event_type", F.col("week").cast("timestamp_ntz").alias("week"), "n")
 
 
+@query("""
+WITH e AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WHERE ts IS NOT NULL),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e),
+g AS (SELECT user_id, min(ts) AS began, max(ts) + INTERVAL 30 MINUTE AS ended, count(*) AS n FROM s GROUP BY user_id, k)
+SELECT user_id, began, ended, n FROM g WHERE ended <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions of each user from the stream: those that the watermark has passed."""
+    path = scratch(spark, "stream")
+    x = stream.read(spark, f"{d}/events*.parquet", table(spark, d, "events").schema)
+    _run(stream.sessions(x.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "user_id"), spark, path)
+    return spark.read.parquet(f"{path}/out").select("user_id", F.col("began").cast("timestamp_ntz").alias("began"), F.col("ended").cast("timestamp_ntz").alias("ended"), "n")
+
+
 @query()
 def stream_deduplicated(spark: SparkSession, d: str) -> DataFrame:
     """Articles of the stream without copies within the watermark."""

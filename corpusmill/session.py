@@ -30,6 +30,12 @@ def session(app: str = "corpusmill", master: str | None = None, **conf: str) ->
     return b.config(map=settings | conf).getOrCreate()
 
 
+def setting(spark: SparkSession, name: str, default: str | None = None) -> str | None:
+    """A setting of the application: spark.corpusmill.NAME of the session, else CORPUSMILL_NAME of the environment, else the default; blank ones count as absent."""
+    key = name.replace(".", "_").upper()
+    return spark.conf.get(f"spark.corpusmill.{name}", None) or os.environ.get(f"CORPUSMILL_{key}") or default
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -7,6 +7,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -109,6 +110,44 @@ def links(pages: DataFrame, html: str, url: str, wanted: dict[str, int]) -> Data
     return x.withColumn("score", score).withColumn("rank", F.row_number().over(Window.partitionBy("url").orderBy(F.desc("score"), "href")))
 
 
+def header_labels(sheets: DataFrame, before: int = 8) -> DataFrame:
+    """`sheets` with `labels`: for each cell the words above it in its column, in lower case, from at most `before` rows; numbers are no words."""
+    from pyspark.sql import Window
+
+    cell = sheets.select("path", "sheet", "row_no", F.posexplode("cells").alias("col", "value"))
+    word = F.nullif(F.regexp_replace(F.trim(F.coalesce("value", F.lit(""))), r"\s+", " "), F.lit(""))
+    w = Window.partitionBy("path", "sheet", "col").orderBy("row_no").rangeBetween(-before, -1)
+    above = F.collect_list(F.when(word.rlike(r"^-?[0-9]+([.][0-9]+)?$"), None).otherwise(word)).over(w)
+    labelled = cell.withColumn("label", F.lower(F.array_join(above, " ")))
+    row = labelled.groupBy("path", "sheet", "row_no").agg(F.array_sort(F.collect_list(F.struct("col", "label"))).alias("l"))
+    return sheets.join(row.select("path", "sheet", "row_no", F.col("l.label").alias("labels")), ["path", "sheet", "row_no"], "left")
+
+
+def _number(c: Column) -> Column:
+    return F.regexp_extract(F.replace(F.coalesce(c, F.lit("")), F.lit(","), F.lit("")), r"-?\d+(?:\.\d+)?", 0).try_cast("double").cast("int")
+
+
+def labelled_number(cells: Column | str, labels: Column | str, terms: list[str], year: int | None = None) -> Column:
+    """The first number of a row under a label with all the terms, those that name the year first; NULL if there is none."""
+    pairs = F.arrays_zip(F.col(cells).alias("c") if isinstance(cells, str) else cells.alias("c"), F.col(labels).alias("l") if isinstance(labels, str) else labels.alias("l"))
+
+    def first(words: list[str]) -> Column:
+        under = F.filter(pairs, lambda p: reduce(lambda a, b: a & b, [F.contains(p["l"], F.lit(w)) for w in words], F.lit(True)) & _number(p["c"]).isNotNull())
+        return _number(F.get(under, F.lit(0))["c"])
+
+    return F.coalesce(*([first([*terms, str(year)])] if year is not None else []), first(terms))
+
+
+def unlabelled_numbers(cells: Column | str, name_at: Column | str) -> tuple[Column, Column]:
+    """(score, rank) of a row without labels: its first number from 0 to 100, and of the others the first from 1 to 220."""
+    c = F.col(cells) if isinstance(cells, str) else cells
+    at = F.col(name_at) if isinstance(name_at, str) else name_at
+    n = F.filter(F.transform(c, lambda x, i: F.when(i != at, _number(x))), lambda x: x.isNotNull())
+    place = F.array_position(F.transform(n, lambda x: x.between(0, 100)), True)
+    rest = F.filter(n, lambda x, i: (i + 1 != place) & x.between(1, 220))
+    return F.when(place > 0, F.get(n, (place - 1).cast("int"))), F.get(rest, F.lit(0))
+
+
 def file_records(spark: SparkSession, path: str) -> DataFrame:
     """(path, size, sha256) of all files at a path."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))

@@ -91,6 +91,19 @@ def verify_manifest(path: str, tables: dict[str, DataFrame]) -> list[str]:
     return wrong
 
 
+def same_run(path: str, settings: dict, overwrite: bool = False) -> None:
+    """Settles what a run at a path is of: the first run writes its settings there, later ones must have the same or say that they overwrite."""
+    p = Path(path)
+    if p.exists() and not overwrite:
+        if json.loads(p.read_text()) != json.loads(json.dumps(settings)):
+            raise ValueError(f"{path} is of a run with other settings; take another path, or overwrite it")
+        return
+    p.parent.mkdir(parents=True, exist_ok=True)
+    part = Path(f"{path}.part")
+    part.write_text(json.dumps(settings, indent=2, sort_keys=True))
+    part.replace(p)
+
+
 def verify_chain(paths: list[str]) -> list[str]:
     """Manifests in order: each must have the one before it, unchanged, among its inputs."""
     wrong = []

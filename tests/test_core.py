@@ -1,7 +1,7 @@
 """Core operators on small tables, with values worked out by hand."""
 
-import hashlib
 import datetime as dt
+import hashlib
 import json
 
 import pytest
@@ -455,3 +455,67 @@ def test_dense_periods_and_bounds(spark, tmp_path):
         records.id_fingerprint(df, "n", [], 2).collect()
     assert records.id_fingerprint(df, "n").first().ids_sha256 == hashlib.sha256(b"1\n2\n3").hexdigest()
     assert records.id_fingerprint(df.limit(0), "n").first().n_ids == 0
+
+
+# names and labels of count tables
+
+def test_places(spark):
+    v = ["United Kingdom [1]", "UK*", " Korea,  South (2)", "Czech_Republic 12", "– Türkiye:", "ab", "www.x.example", "Tel/fax", None, "Україна"]
+    got = spark.createDataFrame([(x,) for x in v], "c string").select(N.place("c").alias("p"), N.is_place("c").alias("ok"), N.is_place("c", ["Czechia"]).alias("one")).collect()
+    assert [r.p for r in got] == ["United Kingdom", "United Kingdom", "South Korea", "Czechia", "Turkey", "ab", "www.x.example", "Tel/fax", "", "Україна"]
+    assert [r.ok for r in got] == [True] * 5 + [False] * 5 and [r.one for r in got] == [k == 3 for k in range(10)]
+
+
+def test_labelled_numbers(spark):
+    from corpusmill.sources import documents
+
+    table = [["", "CPI", "CPI", ""], ["Country", "score 2019", "Score 2020", "Rank 2020"], ["7", "1", "2", "3"], ["Atlantis", "61", "1,5", "n/a 12"], ["Utopia", None, "", "4"]]
+    df = spark.createDataFrame([("f.xlsx", "s", i, r) for i, r in enumerate(table, 1)], "path string, sheet string, row_no int, cells array<string>")
+    x = documents.header_labels(df).cache()
+    labels = {r.row_no: r.labels for r in x.collect()}
+    assert labels[1] == ["", "", "", ""] and labels[4] == ["country", "cpi score 2019", "cpi score 2020", "rank 2020"]
+    pick = lambda *a: {r[0]: r[1] for r in x.select("row_no", documents.labelled_number("cells", "labels", *a)).collect()}
+    assert pick(["score"])[4] == 61 and pick(["score"], 2020)[4] == 15 and pick(["rank"])[4] == 12 and pick(["score"])[5] is None
+    score, rank = documents.unlabelled_numbers("cells", F.lit(0))
+    got = {r[0]: (r[1], r[2]) for r in df.select("row_no", score, rank).collect()}
+    assert got[4] == (61, 15) and got[5] == (4, None) and got[3] == (1, 2) and got[1] == (None, None)
+
+
+def test_totals_from_any_table(spark):
+    from corpusmill.sources import tables
+
+    month = spark.createDataFrame([("A", "2020-01", 2), ("A", "2020-02", 3), (None, "2020-01", 1)], "country string, month string, n long")
+    year = spark.createDataFrame([("A", 2020, 9)], "country string, year int, total_articles long")
+    assert rows(tables.country_totals({"summary": year, "week": month, "month": month}), "total_articles") == [(1,), (5,)]
+    assert rows(tables.country_totals({"month": month, "year": year}), "total_articles") == [(9,)]
+    assert rows(tables.country_totals({"summary": year.withColumnRenamed("total_articles", "input_rows"), "month": month}), "total_articles") == [(9,)]
+    with pytest.raises(FileNotFoundError):
+        tables.country_totals({"total": month})
+
+
+def test_reviewed_rows_are_appended(spark):
+    from corpusmill.operators import review
+
+    old = spark.createDataFrame([("a", "u1", 1), ("b", "", 0)], "id string, uri string, y int")
+    new = spark.createDataFrame([("c", "u1", "No political corruption", "T\nbody"), ("d", "u2", " mentioned but not central ", "T\n\nbody"), ("e", "", "unsure", "x"), ("f", None, "political corruption", "x")], "id string, uri string, y string, text string")
+    got = {r.id: (r.y, r.title, r.body, r.country) for r in review.append_reviewed(old, new, "id", "uri", "y", N.LABELS, "text", {"country": "X"}).collect()}
+    assert got == {"a": (1, None, None, None), "b": (0, None, None, None), "d": (0, "T", "body", "X"), "f": (1, "x", "x", "X")}
+
+
+def test_runs_and_settings(spark, tmp_path, monkeypatch):
+    from corpusmill.session import setting
+    from corpusmill.sources import sinks
+
+    path = str(tmp_path / "run" / "settings.json")
+    sinks.same_run(path, {"k": [1, 2], "t": (1,)})
+    sinks.same_run(path, {"t": [1], "k": [1, 2]})
+    with pytest.raises(ValueError, match="other settings"):
+        sinks.same_run(path, {"k": [1]})
+    sinks.same_run(path, {"k": [1]}, overwrite=True)
+    sinks.same_run(path, {"k": [1]})
+    assert setting(spark, "no.such", "d") == "d"
+    monkeypatch.setenv("CORPUSMILL_NO_SUCH", "e")
+    assert setting(spark, "no.such", "d") == "e"
+    spark.conf.set("spark.corpusmill.no.such", "s")
+    assert setting(spark, "no.such", "d") == "s"
+    spark.conf.unset("spark.corpusmill.no.such")
