@@ -10,6 +10,7 @@ from corpusmill.functions.spans import spans
 from corpusmill.operators import labelling, ml, topics
 from corpusmill.plans import base as B
 from corpusmill.session import scratch, table
+from corpusmill.sources.tables import listed
 from corpusmill.streaming import corpus as stream
 
 QUERIES: dict = {}
@@ -96,7 +97,8 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
 def stream_deduplicated(spark: SparkSession, d: str) -> DataFrame:
     """Articles of the stream without copies within the watermark."""
     path = scratch(spark, "stream")
-    x = stream.read(spark, f"{d}/cleaned_articles*.parquet" if not _folder(d) else f"{d}/cleaned_articles.parquet", table(spark, d, "cleaned_articles").schema)
+    whole = any(p.endswith(".parquet") for p in listed(spark, f"{d}/cleaned_articles.parquet") if not p.endswith("/cleaned_articles.parquet"))
+    x = stream.read(spark, f"{d}/cleaned_articles.parquet" if whole else f"{d}/cleaned_articles*.parquet", table(spark, d, "cleaned_articles").schema)
     # arrival order stands for time: rows arrive long after their date
     x = x.select("country", "uri", "article_text", "row_seq", F.timestamp_seconds("row_seq").alias("arrived"))
     _run(stream.deduplicated(x, "arrived", "3650 days"), spark, path)
@@ -113,12 +115,6 @@ def stream_keep_last(spark: SparkSession, d: str) -> DataFrame:
     return stream.current(spark, f"{path}/out").select("user_id", "event_type", "event_id")
 
 
-def _folder(d: str) -> bool:
-    import os
-
-    return os.path.isdir(f"{d.removeprefix('file://')}/cleaned_articles.parquet")
-
-
 def _stub():
     """A client without a network: says whether the text has a word."""
     import json

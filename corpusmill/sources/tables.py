@@ -12,21 +12,27 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as T
 
 
+def listed(spark: SparkSession, folder: str) -> list[str]:
+    """The paths in a folder of any file system, in order; none if there is no such folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().toString() for s in fs.listStatus(path)) if fs.exists(path) else []
+
+
 def country_csv(spark: SparkSession, folder: str, countries: list[str] | None = None, suffix: str = "_news.csv", encoding: str = "UTF-8", combined: bool = False) -> DataFrame:
     """All `{country}{suffix}` files of a folder (gzip too) with the country from the file name.
 
     Columns are matched by name across files. Quotes inside quoted fields are doubled and fields may hold
     line ends. With `combined`, title and body are put together. No file is an error.
     """
-    root = Path(folder.removeprefix("file://"))
-    files = [p for p in sorted(root.glob(f"*{suffix}*")) if re.fullmatch(re.escape(suffix) + r"(\.gz)?", p.name[p.name.index(suffix) :])]
-    found = {p.name[: p.name.index(suffix)]: p for p in files}
+    at = re.compile(rf"(.*?){re.escape(suffix)}(\.gz)?")
+    found = {m[1]: path for path in listed(spark, folder) if (m := at.fullmatch(path.rpartition("/")[2]))}
     chosen = [c for c in (countries or sorted(found)) if c in found]
     if not chosen:
         raise FileNotFoundError(f"no *{suffix} in {folder}")
     out = None
     for c in chosen:
-        x = spark.read.csv(str(found[c]), header=True, multiLine=True, escape='"', encoding=encoding).withColumn("country", F.lit(c))
+        x = spark.read.csv(found[c], header=True, multiLine=True, escape='"', encoding=encoding).withColumn("country", F.lit(c))
         if combined:
             x = x.withColumn("combined_text", T.combined("title", "body"))
         out = x if out is None else out.unionByName(x, allowMissingColumns=True)
