@@ -11,7 +11,7 @@ expanded to the records of a class.
 
 The filters lose nothing: a pair at or above the threshold shares its k rarest common shingles within
 both prefixes (or all of them if there are fewer), and a bitmap bound is never below the overlap. Groups are
-named by 40 bits; groups that share a name only make more candidates. A class is named by a 64-bit key of its set
+named by 32 to 48 bits, as their number asks for; groups that share a name only make more candidates. A class is named by a 64-bit key of its set
 of shingles.
 
 A token that stands in more than about HOT texts is spread over a grid: its entries are dealt over s salts and sent
@@ -46,7 +46,8 @@ HELD, BLOB = 4_000_000, 1 << 16
 _CELLS = 1 << K.SKETCH_BITS
 _BLOCK = 1 << 15
 _U = np.uint64
-_GROUP = 5  # bytes
+#: Bytes of a group's name, at most; `_name_bytes` says how many are used.
+_GROUP = 6
 _BITS = [f"b{i}" for i in range(BITMAP // 64)]
 
 
@@ -60,12 +61,15 @@ def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, threshold: f
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     first = materialise(rows.mapInArrow(_counts(width), "kind int, key long, value long, data binary"), "shingles")
     members = first.where("kind = 1").select(F.col("key").alias("id"), F.col("value").alias("class")).distinct()
-    rank, _, entries = _ranks(first, threshold)
+    rank, records, entries = _ranks(first, threshold)
+    wide = _name_bytes(records)
     shared = df.sparkSession.sparkContext.broadcast(rank)
     buckets = int(max(8, -(-entries // BUCKET_ENTRIES)))
-    sent = rows.mapInArrow(_prefixes(shared, buckets, width, threshold, HOT), "bucket int, data binary")
-    met = materialise(_by_bucket(sent, buckets).mapInArrow(_met(threshold, buckets), "bucket int, data binary"), "met")
-    pairs = _by_bucket(met.where("bucket >= 0"), buckets).mapInArrow(_enough, "ga long, gb long")
+    sent = rows.mapInArrow(_prefixes(shared, buckets, width, threshold, HOT, wide), "bucket int, data binary")
+    # pairs are fewer and smaller than entries; their buckets are taken in several rounds where they are not
+    fewer = max(8, buckets // 8)
+    met = materialise(_by_bucket(sent, buckets).mapInArrow(_met(threshold, fewer, wide), "bucket int, data binary"), "met")
+    pairs = _by_bucket(met.where("bucket >= 0"), fewer).mapInArrow(_enough, "ga long, gb long")
     records = met.where("bucket < 0").select("data").mapInArrow(_records, f"class long, id long, n int, grp long, {', '.join(f'{b} long' for b in _BITS)}")
     # a class that several tasks have sent is named by its smallest record
     classes = materialise(records.groupBy("class").agg(F.min(F.struct("id", "n", "grp", *_BITS)).alias("r")).select("class", "r.*"), "classes")
@@ -181,7 +185,12 @@ def bitmaps(key: np.ndarray, docs: int) -> np.ndarray:
     return np.packbits(odd.reshape(docs, BITMAP), axis=1).view(np.uint64)
 
 
-def _prefixes(shared, buckets: int, width: int, t: float, most: float):
+def _name_bytes(records: int) -> int:
+    """So many that about one group in 32 at most shares its name with another."""
+    return next((w for w in (4, 5) if records <= 1 << (8 * w - 5)), _GROUP)
+
+
+def _prefixes(shared, buckets: int, width: int, t: float, most: float, wide: int = _GROUP):
     """Blobs for the buckets: entries of the groups (bucket 0 and up) and records of the classes (below 0).
 
     A class and the prefix of a group are sent once by a task: copies cost nothing further.
@@ -204,7 +213,7 @@ def _prefixes(shared, buckets: int, width: int, t: float, most: float):
             with np.errstate(over="ignore"):
                 prefix = n.astype(np.uint64)
                 np.add.at(prefix, run_, K.mix(token[at] + (place.astype(np.uint64) << _U(K.TOKEN_BITS))))
-                group = K.mix(prefix) >> _U(64 - 8 * _GROUP)
+                group = K.mix(prefix) >> _U(64 - 8 * wide)
             fresh, first = np.zeros(len(n), bool), np.zeros(len(n), bool)
             for i in np.flatnonzero(n):
                 if (c := int(cls[i])) not in known:
@@ -220,11 +229,11 @@ def _prefixes(shared, buckets: int, width: int, t: float, most: float):
             held.append(_spread(token[at][keep], group[run_][keep], place[keep], n[run_][keep], counts[rank[K.bucket_of(token[at][keep])]] - usual, most))
             size += len(held[-1][0])
             if size > HELD:
-                yield from _batches(_entry_blobs(held, buckets))
+                yield from _batches(_entry_blobs(held, buckets, wide))
                 held.clear(), known.clear(), groups.clear()
                 size = 0
         if size:
-            yield from _batches(_entry_blobs(held, buckets))
+            yield from _batches(_entry_blobs(held, buckets, wide))
 
     return run
 
@@ -261,13 +270,13 @@ def _runs(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
             yield int(bucket[a]), slice(i, min(i + BLOB, b))
 
 
-def _entry_blobs(held: list[tuple], buckets: int) -> Iterator[tuple[int, bytes]]:
+def _entry_blobs(held: list[tuple], buckets: int, wide: int) -> Iterator[tuple[int, bytes]]:
     token, group, place, n, side = (np.concatenate(x) for x in zip(*held))
     bucket, short = _bucket(token, buckets), token & _U(0xFFFFFFFF)
     order = np.argsort((bucket.astype(np.uint64) << _U(32)) | short)
     bucket, short, group, place, n, side = bucket[order], short[order], group[order], place[order], n[order], side[order]
     for b, s in _runs(bucket):
-        yield b, pack_entries(short[s], group[s], place[s], n[s], side[s])
+        yield b, pack_entries(short[s], group[s], place[s], n[s], side[s], wide)
 
 
 def _batches(blobs) -> Iterator[pa.RecordBatch]:
@@ -310,9 +319,9 @@ def _width(x: np.ndarray) -> int:
     return 2 if int(x.max(initial=0)) < 65536 else 4
 
 
-def pack_entries(short, group, place, n, side) -> bytes:
+def pack_entries(short, group, place, n, side, wide: int) -> bytes:
     """Entries sorted by token, as differences of tokens; about ten bytes each once compressed."""
-    return _packed([(np.diff(short, prepend=_U(0)), 4), (group, _GROUP), (place, _width(place)), (n, _width(n)), (side, 1)])
+    return _packed([(np.diff(short, prepend=_U(0)), 4), (group, wide), (place, _width(place)), (n, _width(n)), (side, 1)])
 
 
 def pack_records(ids, cls, n, group, bits) -> bytes:
@@ -340,10 +349,12 @@ def _grouped(batches) -> Iterator[tuple[int, list[bytes]]]:
         yield key, held
 
 
-def _met(t: float, buckets: int):
-    """Joins the entries of a bucket: blobs of group pairs with the tokens they share there. Records of classes pass through."""
+def _met(t: float, buckets: int, wide: int):
+    """Joins the entries of each bucket: blobs of group pairs with the tokens they share there. Records of classes pass through."""
 
     def run(batches):
+        # pairs are held over the buckets of a task, so that blobs are as long with many small buckets
+        held, size = [], 0
         for key, blobs in _grouped(batches):
             if key < 0:
                 yield from _batches((key, d) for d in blobs)
@@ -355,29 +366,28 @@ def _met(t: float, buckets: int):
             order = np.lexsort((n, group))
             lead = order[np.concatenate([[True], group[order][1:] != group[order][:-1]])]
             names, sizes = group[lead], n[lead]
-            held, size = [], 0
             for a, b, c in K.prefix_pairs(token, n, group, place, t, SHARED, CHUNK, side):
-                held.append((np.minimum(a, b), np.maximum(a, b), c))
+                # two sets of `total` shingles together may share fewer than SHARED at the threshold
+                need = np.minimum(SHARED, K.least_common(sizes[np.searchsorted(names, a)] + sizes[np.searchsorted(names, b)], t))
+                held.append((np.minimum(a, b), np.maximum(a, b), np.minimum(c, SHARED) + 16 * need))
                 size += len(a)
                 if size > CHUNK:
-                    yield from _batches(_pair_blobs(held, names, sizes, t, buckets))
+                    yield from _batches(_pair_blobs(held, buckets, wide))
                     held, size = [], 0
-            if size:
-                yield from _batches(_pair_blobs(held, names, sizes, t, buckets))
+        if size:
+            yield from _batches(_pair_blobs(held, buckets, wide))
 
     return run
 
 
-def _pair_blobs(held: list[tuple], names, sizes, t: float, buckets: int) -> Iterator[tuple[int, bytes]]:
-    a, b, c = (np.concatenate(x) for x in zip(*held))
-    # two sets of `total` shingles together may share fewer than SHARED at the threshold
-    need = np.minimum(SHARED, K.least_common(sizes[np.searchsorted(names, a)] + sizes[np.searchsorted(names, b)], t))
+def _pair_blobs(held: list[tuple], buckets: int, wide: int) -> Iterator[tuple[int, bytes]]:
+    a, b, x = (np.concatenate(y) for y in zip(*held))
     with np.errstate(over="ignore"):
         bucket = (K.mix(K.mix(a.view(np.uint64)) + b.view(np.uint64)) % _U(buckets)).astype(np.int64)
     order = np.lexsort((a, bucket))
-    a, b, c, need, bucket = a[order], b[order], np.minimum(c[order], SHARED), need[order], bucket[order]
+    a, b, x, bucket = a[order], b[order], x[order], bucket[order]
     for k, s in _runs(bucket):
-        yield k, _packed([(np.diff(a[s], prepend=0), _GROUP), (b[s], _GROUP), (c[s] + 16 * need[s], 1)])
+        yield k, _packed([(np.diff(a[s], prepend=0), wide), (b[s], wide), (x[s], 1)])
 
 
 def _enough(batches):
