@@ -77,3 +77,19 @@ reach AS (SELECT class_id AS a, class_id AS b FROM c UNION SELECT reach.a, links
 SELECT row_seq, class_id, class_size, coalesce(l.n, 0) AS links, g.group_id FROM named
 LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) l ON l.a = class_id JOIN (SELECT a, min(b) AS group_id FROM reach GROUP BY a) g ON g.a = class_id
 """
+
+SQL["p8_clean"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, {_WORDS.format('item_text')} AS w FROM eval_items),
+g AS (SELECT DISTINCT array_to_string(w[k:k + 11], ' ') AS g FROM i, unnest(range(1, len(w) - 10)) AS x(k)),
+h AS (SELECT doc_id, k, array_to_string(w[k:k + 11], ' ') AS g FROM d, unnest(range(1, len(w) - 10)) AS x(k)),
+gone AS (SELECT DISTINCT doc_id, k + o AS i FROM g JOIN h USING (g), unnest(range(12)) AS y(o)),
+hit AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id),
+parts AS (SELECT doc_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+') AS p FROM documents JOIN hit USING (doc_id)),
+piece AS (SELECT doc_id, n, p[n] AS p, regexp_matches(p[n], '^[\\p{{L}}\\p{{N}}]') AS w FROM parts, unnest(range(1, len(p) + 1)) AS x(n)),
+numbered AS (SELECT *, sum(w::INT) OVER (PARTITION BY doc_id ORDER BY n) AS i FROM piece),
+marked AS (SELECT x.*, a.i IS NOT NULL AND (w OR b.i IS NOT NULL) AS out FROM numbered x LEFT JOIN gone a ON a.doc_id = x.doc_id AND a.i = x.i LEFT JOIN gone b ON b.doc_id = x.doc_id AND b.i = x.i + 1),
+left_over AS (SELECT doc_id, coalesce(string_agg(p, '' ORDER BY n) FILTER (NOT out), '') AS t FROM marked GROUP BY doc_id)
+SELECT doc_id, CASE WHEN hit.n IS NULL THEN text ELSE t END AS text, CAST(coalesce(hit.n, 0) AS INTEGER) AS removed_words
+FROM documents LEFT JOIN hit USING (doc_id) LEFT JOIN left_over USING (doc_id)
+"""
