@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions.spans import spans
 from corpusmill.operators import labelling, ml, topics
 from corpusmill.plans import base as B
+from corpusmill.plans import sqltext as S
 from corpusmill.session import scratch, table
 from corpusmill.sources.tables import listed
 from corpusmill.streaming import corpus as stream
@@ -130,7 +131,12 @@ def client_labels(spark: SparkSession, d: str) -> DataFrame:
     return labelling.label(x, "doc_id", "prompt", _stub, lambda g: {"label": g["label"]}, ["label"]).select("doc_id", "label", "error", "attempts")
 
 
-@query()
+@query(f"""
+WITH t AS (SELECT row_seq, lower(article_text) AS x, lower({S.strip('string_split(article_text, chr(10))[1]')}) AS q FROM cleaned_articles),
+p AS (SELECT row_seq, q, string_split(x, q) AS p FROM t WHERE q <> ''),
+k AS (SELECT row_seq, len(q) AS n, list_sum(list_transform(p[1:i], lambda y: len(y))) + (i - 1) * len(q) AS start FROM p, unnest(range(1, len(p))) AS r(i))
+SELECT row_seq, CAST(start AS INTEGER) AS start, CAST(start + n AS INTEGER) AS end, 'title' AS label FROM k
+""")
 def quotation_spans(spark: SparkSession, d: str) -> DataFrame:
     """Where the first line of every article stands in it."""
     t = table(spark, d, "cleaned_articles").withColumn("title", F.get(F.split("article_text", "\n"), F.lit(0)))
