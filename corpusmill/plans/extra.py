@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.spans import spans
-from corpusmill.operators import labelling, ml, topics
+from corpusmill.operators import grid, labelling, ml, topics
 from corpusmill.plans import base as B
 from corpusmill.plans import sqltext as S
 from corpusmill.session import scratch, table
@@ -49,6 +49,23 @@ def embedding_clusters(spark: SparkSession, d: str) -> DataFrame:
     return ml.clusters(table(spark, d, "embeddings"), "embedding", 10)[0].select("vec_id", "label", "cluster")
 
 
+def _grid(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return grid.stability_grid(x.join(table(spark, d, "documents").select("doc_id", "country"), "doc_id", "left"), "doc_id", "embedding", "country")
+
+
+@query()
+def topic_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """90 clusterings of all vectors, how stable each is on five resamples, and whether it is within the bounds."""
+    return topics.adequate(_grid(spark, d))
+
+
+@query()
+def topic_choice(spark: SparkSession, d: str) -> DataFrame:
+    """The clustering that the selection takes among them (one row, or none if none is within the bounds)."""
+    return topics.select_model(_grid(spark, d))
+
+
 @query()
 def embedding_topics(spark: SparkSession, d: str) -> DataFrame:
     """Topics from principal components and divisive clustering."""

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import csv
 import io
-import re
 import zipfile
 from collections.abc import Iterator
 from functools import reduce

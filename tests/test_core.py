@@ -2,7 +2,6 @@
 
 import datetime as dt
 import hashlib
-import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -519,3 +518,30 @@ def test_runs_and_settings(spark, tmp_path, monkeypatch):
     spark.conf.set("spark.corpusmill.no.such", "s")
     assert setting(spark, "no.such", "d") == "s"
     spark.conf.unset("spark.corpusmill.no.such")
+
+
+# clusterings
+
+def test_grid_of_clusterings(spark):
+    import numpy as np
+
+    from corpusmill.operators import grid, metrics
+
+    rng = np.random.default_rng(3)
+    middle = rng.normal(size=(4, 12)) * 3
+    of = rng.integers(0, 4, 600)
+    data = [(i, f"c{of[i]}" if i % 5 else None, [float(v) for v in middle[of[i]] + rng.normal(size=12) * 0.2]) for i in range(600)]
+    df = spark.createDataFrame([*data, (None, "x", [0.0] * 12), (900, "x", None)], "id long, country string, v array<double>").repartition(5)
+    small = [(3, 4, 0.01, 1), (3, 4, 0.01, 2), (3, 4, 0.3, 1), (3, 2, 0.01, 1)]
+    got = {(r.k, r.least, r.start): r for r in grid.stability_grid(df, "id", "v", "country", small, repeats=3).collect()}
+    best = max((got[4, 0.01, 1], got[4, 0.01, 2]), key=lambda r: r.validity)
+    assert best.topics == 4 and best.mean_ari > 0.99 and best.outlier_share == 0 and best.common_share == 1 and best.validity > 0.95
+    assert got[2, 0.01, 1].topics == 2 and got[2, 0.01, 1].validity < best.validity
+    assert got[4, 0.3, 1].topics < 4 and got[4, 0.3, 1].outlier_share > 0
+    # the measures are those of the operators on rows
+    a, b = rng.integers(0, 3, 200), rng.integers(0, 4, 200)
+    table = np.bincount(a * 4 + b, minlength=12).reshape(3, 4).astype(float)
+    pairs = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b)], "a int, b int")
+    assert grid._rand(table) == pytest.approx(metrics.rand_index(pairs, "a", "b").first().ari, abs=1e-7)
+    assert grid._mutual(table) == pytest.approx(metrics.mutual_information(pairs, "a", "b").first().nmi, abs=1e-7)
+    assert grid.stability_grid(df.limit(0), "id", "v", "country", small).count() == 0
