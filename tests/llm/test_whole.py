@@ -60,6 +60,19 @@ def test_counts_of_any_vocabulary(spark, small, monkeypatch):
         assert len(a & b) >= 0.97 * len(a | b)
 
 
+def test_both_models_from_one_scan(spark, small):
+    t = queries._labelled(spark, small)
+    model, channel = language.fit_both(list(t.values()))
+    apart = language.fit(list(t.values()))
+    assert model.words == apart.words and np.allclose(model.rows, apart.rows) and np.allclose(model.chars, apart.chars)
+    text = t["cleaned_articles"].select("text").union(t["documents"].select("text"))
+    other = encoding.fit(text, "text")
+    assert channel.counts == other.counts and channel.total == other.total and channel.masked == other.masked
+    none = [x.limit(0) for x in t.values()]
+    model, channel = language.fit_both(none)
+    assert language.unlabelled(none[0], "row_key", "text", "label", model, channel).count() == 0
+
+
 def test_passages_are_found_in_texts_of_any_length():
     words = {k: [f"{l}{i}" for i in range(50)] for k, l in (("hu", "h"), ("fr", "f"))}
     counted = [(w, [100.0 if l == k else 0.0 for l in language.LANGUAGES]) for k, ws in words.items() for w in ws]
