@@ -3,8 +3,9 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 
-from corpusmill.llm import counts, encoding, language, queries
+from corpusmill.llm import counts, encoding, language, queries, reading
 from corpusmill.session import table
 
 
@@ -73,6 +74,17 @@ def test_both_models_from_one_scan(spark, small):
     assert language.unlabelled(none[0], "row_key", "text", "label", model, channel).count() == 0
 
 
+def test_portions_of_texts():
+    t = ["a" * 700_000, "b" * 700_000, None, "", "c" * 3_000_000, *["d"] * 1200]
+    b = pa.RecordBatch.from_arrays([pa.array(range(len(t))), pa.array(t)], ["d", "t"])
+    got = list(reading._portions(b))
+    assert [x for _, p in got for x in p] == t and [i for s, _ in got for i in s.column(0).to_pylist()] == list(range(len(t)))
+    assert [len(p) for _, p in got] == [1, 3, 1, 512, 512, 176]
+    n = np.array([3, 0, 5])
+    m = reading.Letters(np.arange(8, dtype=np.uint64), np.ones((5, 8)))
+    assert np.isfinite(reading._means(m.surprisals(np.arange(8, dtype=np.uint64) + np.uint64(4)), n)[[0, 2]]).all()
+
+
 def test_passages_are_found_in_texts_of_any_length():
     words = {k: [f"{l}{i}" for i in range(50)] for k, l in (("hu", "h"), ("fr", "f"))}
     counted = [(w, [100.0 if l == k else 0.0 for l in language.LANGUAGES]) for k, ws in words.items() for w in ws]
