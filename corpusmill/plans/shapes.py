@@ -14,7 +14,10 @@ from corpusmill.plans import base as B
 from corpusmill.plans import sqltext as S
 from corpusmill.plans.analysis import _h
 from corpusmill.session import scratch, table
-from corpusmill.sources import documents, tables
+from corpusmill.sources import documents, sinks, tables
+
+#: Countries that have a file of their own, at most.
+MOST_FILES = 1000
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -84,11 +87,23 @@ def month_by_country(spark: SparkSession, d: str) -> DataFrame:
 def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """All articles written as one CSV file a country and read back with their country from the file name."""
     path = scratch(spark, "csv")
-    x = table(spark, d, "cleaned_articles").select("row_seq", "country", T.collapse("article_text").alias("article_text"))
-    x.write.partitionBy("country").option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    x = table(spark, d, "cleaned_articles").withColumn("article_text", T.collapse("article_text"))
+    sinks.guarded(x, path, partition_by=["country"], columns=["row_seq", "country", "article_text"], format="csv", header="true", escape='"', quoteAll="true", compression="gzip")
     return spark.read.option("basePath", path).csv(f"{path}/country=*", header=True, multiLine=True, escape='"').select(F.col("row_seq").cast("long").alias("row_seq"), "country", F.coalesce("article_text", F.lit("")).alias("article_text"))
 
 
+@query("SELECT row_seq, country, article_text, title || chr(10) || body AS combined_text FROM (SELECT row_seq, country, article_text, string_split(article_text, chr(10))[1] AS title, array_to_string(string_split(article_text, chr(10))[2:], chr(10)) AS body FROM cleaned_articles)")
+def country_files(spark: SparkSession, d: str) -> DataFrame:
+    """All articles from a file of each country, whose name says which it is, with title and body put together."""
+    path = scratch(spark, "countries")
+    lines = F.split("article_text", "\n")
+    x = table(spark, d, "cleaned_articles").select("row_seq", "country", "article_text", F.get(lines, F.lit(0)).alias("title"), F.array_join(F.slice(lines, 2, F.size(lines)), "\n").alias("body"))
+    for r in x.select("country").distinct().limit(MOST_FILES + 1).collect():
+        sinks.guarded(x.where(F.col("country") == r.country), f"{path}/{r.country}_news.csv", columns=["row_seq", "article_text", "title", "body"], format="csv", header="true", escape='"', quoteAll="true")
+    y = tables.country_csv(spark, path, combined=True)
+    return y.select(F.col("row_seq").cast("long").alias("row_seq"), "country", "article_text", "combined_text")
+
+
 @query("SELECT event_id, user_id, event_type, value FROM events")
 def json_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """All events written as JSON lines and read back with a schema."""

@@ -17,10 +17,10 @@ from corpusmill.functions.text import latex
 from corpusmill.operators.records import fingerprint
 
 
-def guarded(df: DataFrame, path: str, overwrite: bool = False, partition_by: list[str] | None = None, columns: list[str] | None = None) -> str:
-    """Writes Parquet, refusing an existing output unless told to overwrite; optionally fewer columns, or a folder per value."""
-    w = (df.select(*columns) if columns else df).write.mode("overwrite" if overwrite else "errorifexists")
-    (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
+def guarded(df: DataFrame, path: str, overwrite: bool = False, partition_by: list[str] | None = None, columns: list[str] | None = None, format: str = "parquet", **options: str) -> str:
+    """Writes a table, refusing an existing output unless told to overwrite; optionally fewer columns, a folder per value, or another format with its options."""
+    w = (df.select(*columns) if columns else df).write.mode("overwrite" if overwrite else "errorifexists").format(format).options(**options)
+    (w.partitionBy(*partition_by) if partition_by else w).save(path)
     return path
 
 
