@@ -2,20 +2,23 @@
 
 Two passes over the texts. The first counts every shingle in a sketch of fixed size, which fixes one
 global order from rare to common, and gives each record a class key: records with the same set of
-shingles form one class. In the second, classes with identical prefix and size form one group. A group sends
-one entry for each token of its prefix to the token's bucket and a class one record to where it is kept; so
-what is shuffled is the same for any number of buckets. Pairs of groups that pass the size and position filters
-of a token are added up over the buckets; those that share enough tokens are expanded to the classes that are
-members, whose bitmaps of fixed width bound the overlap from above. What is left is verified on the texts and
-expanded to the records of a class.
-
-The filters lose nothing: a pair at or above the threshold shares its k rarest common shingles within
-both prefixes (or all of them if there are fewer), and a bitmap bound is never below the overlap. Groups are
-named by 32 to 48 bits, as their number asks for; groups that share a name only make more candidates. A class is named by a 64-bit key of its set
-of shingles.
-
-A token that stands in more than about HOT texts is spread over a grid: its entries are dealt over s salts and sent
-to the s cells of their salt, so that every two of them meet in exactly one cell, which is a bucket entry of its own.
+shingles form one class. In the second, classes with identical prefix and size form one group. A group deals the
+tokens of its prefix into parts and sends one row for each part; a class sends one record to where it is kept; so
+what is shuffled is the same for any number of buckets. A task that has a part joins its rows on twos of tokens, which are
+made there and not sent. Pairs of groups that pass the size filter are added up over the parts; those that share enough
+twos are expanded to the classes that are members, whose bitmaps of fixed width bound the overlap from above. What is left is
+verified on the texts and expanded to the records of a class.
+
+A shingle alone is shared by many pairs of texts that are not alike, where texts use few words; two of one part seldom are.
+The filters lose nothing. Sizes form classes, each twice the one before, and a pair meets in the class of its smaller
+text, which has g parts. A pair at or above the threshold shares at least g + SHARED shingles, and its g + SHARED rarest
+common ones stand within both prefixes; dealt over g parts they make at least SHARED twos. Texts of a few shingles (class 0) meet
+by single tokens: they share their SHARED rarest common ones, or all of them if there are fewer. A bitmap bound is never below
+the overlap. Groups are named by 32 to 48 bits, as their number asks for; groups or tokens that share a name only make more
+candidates. A class is named by a 64-bit key of its set of shingles.
+
+With more than HOT records the rows of a part are dealt over s salts and sent to the s cells of their salt, so that every two of
+them meet in exactly one cell.
 """
 
 from __future__ import annotations
@@ -31,19 +34,25 @@ from pyspark.sql import functions as F
 from corpusmill.llm import kernels as K
 from corpusmill.session import materialise
 
-#: Rarest common shingles that a pair must share within both prefixes.
+#: Twos of tokens that a pair must share in all parts together; of short texts, rarest common shingles within both prefixes.
 SHARED = 4
+#: Parts into which the tokens of short texts are dealt.
+SINGLES = 64
+#: Twos that are joined at once.
+TWOS = 8_000_000
 #: Width of a class's bitmap in bits.
 BITMAP = 512
 #: Prefix entries in a bucket on average; a bucket is joined by one task.
 BUCKET_ENTRIES = 500_000
-#: Occurrences of a token, beside those of a usual cell of the sketch, that make one salt.
-HOT = 20_000
+#: Records that make one salt.
+HOT = 8_000_000
 #: Pairs of entries taken at once, and pairs of groups added up at once.
 CHUNK = 500_000
 #: Entries that a task holds before it sends them on, and members of one blob.
 HELD, BLOB = 4_000_000, 1 << 16
 _CELLS = 1 << K.SKETCH_BITS
+#: Bits of a token within its part, and where the size class and the number of a part begin in its name; the cell of the grid is below.
+_SHORT, _CLASS, _PART = 24, 58, 34
 _BLOCK = 1 << 15
 _U = np.uint64
 #: Bytes of a group's name, at most; `_name_bytes` says how many are used.
@@ -64,8 +73,8 @@ def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, threshold: f
     rank, records, entries = _ranks(first, threshold)
     wide = _name_bytes(records)
     shared = df.sparkSession.sparkContext.broadcast(rank)
-    buckets = int(max(8, -(-entries // BUCKET_ENTRIES)))
-    sent = rows.mapInArrow(_prefixes(shared, buckets, width, threshold, HOT, wide), "bucket int, data binary")
+    buckets = int(max(32, -(-entries // BUCKET_ENTRIES)))
+    sent = rows.mapInArrow(_prefixes(shared, buckets, width, threshold, HOT, wide, records), "bucket int, data binary")
     # pairs are fewer and smaller than entries; their buckets are taken in several rounds where they are not
     fewer = max(8, buckets // 8)
     met = materialise(_by_bucket(sent, buckets).mapInArrow(_met(threshold, fewer, wide), "bucket int, data binary"), "met")
@@ -190,16 +199,41 @@ def _name_bytes(records: int) -> int:
     return next((w for w in (4, 5) if records <= 1 << (8 * w - 5)), _GROUP)
 
 
-def _prefixes(shared, buckets: int, width: int, t: float, most: float, wide: int = _GROUP):
-    """Blobs for the buckets: entries of the groups (bucket 0 and up) and records of the classes (below 0).
+def _at_least(size: int, t: float) -> int:
+    """Shingles that a text of `size` shares at least with any partner of its size or more."""
+    return int(K.least_common(np.array([2 * size]), t)[0])
+
+
+def _first_class(t: float) -> int:
+    """The lowest size class (of sizes from 2 ** c on) whose pairs share enough tokens to be met by two at once; smaller texts meet by single tokens, as class 0."""
+    return next(c for c in range(1, 64) if _at_least(1 << c, t) >= 2 * SHARED)
+
+
+def _parts(c: int, t: float) -> int:
+    """Parts into which tokens are dealt for size class c: fewer than any pair of it shares, by SHARED."""
+    return SINGLES if c == 0 else max(1, min(int(0.6 * (1 - t) * (1 << c)), _at_least(1 << c, t) - SHARED))
+
+
+def _classes_of(n: np.ndarray, first: int) -> np.ndarray:
+    c = np.frexp(np.maximum(n, 1).astype(np.float64))[1] - 1
+    return np.where(c < first, 0, c)
+
+
+def _length(n: np.ndarray, c: np.ndarray, t: float) -> np.ndarray:
+    """Prefix of texts in size class c: holds the tokens of which a pair must share more than there are parts, by SHARED."""
+    more = np.array([0 if x == 0 else _parts(int(x), t) for x in range(int(c.max(initial=0)) + 1)])
+    return K.probe_length(n, t, SHARED + more[c])
+
+
+def _prefixes(shared, buckets: int, width: int, t: float, most: float, wide: int = _GROUP, records: int = 0):
+    """Blobs for the buckets: rows of the groups (bucket 0 and up) and records of the classes (below 0).
 
     A class and the prefix of a group are sent once by a task: copies cost nothing further.
     """
+    first_class, salts = _first_class(t), max(1, -int(-records // most))
 
     def run(batches):
         cache, rank = K.WordHashes(), shared.value
-        counts = np.exp2(np.arange(256) / 10.0) - 1
-        usual = float(counts[rank].mean())
         known: set[int] = set()
         groups: set[int] = set()
         held: list[tuple] = []
@@ -209,7 +243,8 @@ def _prefixes(shared, buckets: int, width: int, t: float, most: float, wide: int
             key, n = K.shingle_sets(flat, words, width)
             token = K.by_rarity(key, rank)
             cls = _class_keys(key, n, flat, words)
-            at, run_, place = K.heads(n, np.where(n > 0, K.probe_length(n, t, SHARED), 0))
+            top = _classes_of(n, first_class)
+            at, run_, place = K.heads(n, np.where(n > 0, _length(n, top, t), 0))
             with np.errstate(over="ignore"):
                 prefix = n.astype(np.uint64)
                 np.add.at(prefix, run_, K.mix(token[at] + (place.astype(np.uint64) << _U(K.TOKEN_BITS))))
@@ -225,9 +260,13 @@ def _prefixes(shared, buckets: int, width: int, t: float, most: float, wide: int
             mine = np.flatnonzero(fresh)
             if len(mine):
                 yield from _batches([(-1 - int(group[mine[0]] % _U(buckets)), pack_records(ids[mine], cls[mine], n[mine], group[mine], bitmaps(key, len(n))[mine]))])
-            keep = first[run_]
-            held.append(_spread(token[at][keep], group[run_][keep], place[keep], n[run_][keep], counts[rank[K.bucket_of(token[at][keep])]] - usual, most))
-            size += len(held[-1][0])
+            low = _classes_of(np.ceil(t * n - 1e-9).astype(np.int64), first_class)
+            # a pair meets in the class of its smaller text
+            for c in (0, *range(first_class, int(top.max(initial=0)) + 1)):
+                here = first & (low <= c) & (c <= top)
+                if here.any():
+                    held.append(_spread(*_dealt(token, n, here, c, t), group, n, salts))
+                    size += len(held[-1][-1])
             if size > HELD:
                 yield from _batches(_entry_blobs(held, buckets, wide))
                 held.clear(), known.clear(), groups.clear()
@@ -238,28 +277,40 @@ def _prefixes(shared, buckets: int, width: int, t: float, most: float, wide: int
     return run
 
 
-def _spread(token, group, place, n, occurrences, most: float):
-    """Entries with their side; those of hot tokens once for each cell of the grid that their salt belongs to."""
-    side = np.zeros(len(token), np.uint8)
-    hot = np.flatnonzero(occurrences > most)
-    if not len(hot):
-        return token, group, place, n, side
-    salts = np.ceil(occurrences[hot] / most).astype(np.int64)
-    i = np.repeat(hot, salts)
-    s = np.repeat(salts, salts)
-    other = np.arange(len(i)) - np.repeat(K.starts(salts), salts)
+def _dealt(token, n, here, c: int, t: float):
+    """Rows of the chosen texts in size class c: name of their part of the tokens, text, number of tokens; and the tokens of all rows."""
+    at, run, _ = K.heads(n, np.where(here, _length(n, np.full(len(n), c), t), 0))
+    parts = _U(_parts(c, t))
     with np.errstate(over="ignore"):
-        own = (K.mix(group[i]) % s.astype(np.uint64)).astype(np.int64)
-        cell = np.minimum(own, other) * s + np.maximum(own, other)
-        cells = K.mix(K.mix(token[i]) + cell.astype(np.uint64)) >> _U(64 - K.TOKEN_BITS)
-    rest = np.setdiff1d(np.arange(len(token)), hot, assume_unique=True)
-    both = np.concatenate([rest, i])
-    return np.concatenate([token[rest], cells]), group[both], place[both], n[both], np.concatenate([side[rest], np.sign(other - own) % 3]).astype(np.uint8)
-
-
-def _bucket(token: np.ndarray, buckets: int) -> np.ndarray:
-    """Buckets depend on other bits than the 32 that stay in an entry."""
-    return (K.mix(token >> _U(8)) % _U(buckets)).astype(np.int64)
+        part = K.mix(token[at] + _U(1 << 60)) % parts
+    full = ((run.astype(np.uint64) * parts + part) << _U(_SHORT)) | (token[at] & _U((1 << _SHORT) - 1))
+    full.sort()
+    row = full >> _U(_SHORT)
+    lead = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.empty(0, np.int64)
+    size = np.diff(np.append(lead, len(row)))
+    row = row[lead]
+    # one token makes no two
+    ok = size >= (1 if c == 0 else 2)
+    return (_U(c) << _U(_CLASS)) | ((row[ok] % parts) << _U(_PART)), (row[ok] // parts).astype(np.int64), size[ok], (full & _U((1 << _SHORT) - 1))[np.repeat(ok, size)]
+
+
+def _spread(part, text, size, token, group, n, salts: int):
+    """Rows with their side: once for each cell of the grid that their salt belongs to."""
+    side = np.zeros(len(part), np.uint8)
+    if salts > 1:
+        i = np.repeat(np.arange(len(part)), salts)
+        other = np.tile(np.arange(salts), len(part))
+        with np.errstate(over="ignore"):
+            own = (K.mix(group[text]) % _U(salts)).astype(np.int64)[i]
+        token = token[_members(size, i)]
+        part = part[i] + (np.minimum(own, other) * salts + np.maximum(own, other)).astype(np.uint64)
+        text, size, side = text[i], size[i], (np.sign(other - own) % 3).astype(np.uint8)
+    return part, group[text], n[text], size, side, token
+
+
+def _members(size: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Places of the members of the given rows, whose members lie one row after the other."""
+    return np.repeat(K.starts(size)[rows], size[rows]) + np.arange(int(size[rows].sum())) - np.repeat(K.starts(size[rows]), size[rows])
 
 
 def _runs(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
@@ -271,12 +322,13 @@ def _runs(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
 
 
 def _entry_blobs(held: list[tuple], buckets: int, wide: int) -> Iterator[tuple[int, bytes]]:
-    token, group, place, n, side = (np.concatenate(x) for x in zip(*held))
-    bucket, short = _bucket(token, buckets), token & _U(0xFFFFFFFF)
-    order = np.argsort((bucket.astype(np.uint64) << _U(32)) | short)
-    bucket, short, group, place, n, side = bucket[order], short[order], group[order], place[order], n[order], side[order]
-    for b, s in _runs(bucket):
-        yield b, pack_entries(short[s], group[s], place[s], n[s], side[s], wide)
+    part, group, n, size, side, token = (np.concatenate(x) for x in zip(*held))
+    order = np.argsort(part)
+    token = token[_members(size, order)].astype(np.uint32)
+    part, group, n, size, side = part[order], group[order], n[order], size[order], side[order]
+    ends = np.cumsum(size)
+    for p, s in _runs(part):
+        yield int(K.mix(part[s.start : s.start + 1])[0] % _U(buckets)), pack_entries(p, group[s], n[s], size[s], side[s], token[ends[s.start] - size[s.start] : ends[s.stop - 1]], wide)
 
 
 def _batches(blobs) -> Iterator[pa.RecordBatch]:
@@ -304,9 +356,9 @@ def _packed(columns: list[tuple[np.ndarray, int]]) -> bytes:
     return b"".join([np.array([len(columns[0][0]), *(w for _, w in columns)], np.int64).tobytes(), *(_planes(x, w) for x, w in columns)])
 
 
-def unpack(data: bytes, columns: int) -> list[np.ndarray]:
-    n, *widths = map(int, np.frombuffer(data, np.int64, 1 + columns))
-    at, out = 8 + 8 * columns, []
+def unpack(data: bytes, columns: int, at: int = 0) -> list[np.ndarray]:
+    n, *widths = map(int, np.frombuffer(data, np.int64, 1 + columns, at))
+    at, out = at + 8 + 8 * columns, []
     for w in widths:
         x = np.zeros((n, 8), np.uint8)
         x[:, :w] = np.frombuffer(data, np.uint8, w * n, at).reshape(w, n).T
@@ -319,9 +371,16 @@ def _width(x: np.ndarray) -> int:
     return 2 if int(x.max(initial=0)) < 65536 else 4
 
 
-def pack_entries(short, group, place, n, side, wide: int) -> bytes:
-    """Entries sorted by token, as differences of tokens; about ten bytes each once compressed."""
-    return _packed([(np.diff(short, prepend=_U(0)), 4), (group, wide), (place, _width(place)), (n, _width(n)), (side, 1)])
+def pack_entries(part: int, group, n, size, side, token, wide: int) -> bytes:
+    """Rows of one part with the tokens of all of them, which come first."""
+    return np.array([part], np.uint64).tobytes() + _packed([(token, 3)]) + _packed([(group, wide), (n, _width(n)), (size, _width(size)), (side, 1)])
+
+
+def unpack_entries(data: bytes) -> list[np.ndarray]:
+    """Groups, sizes, numbers of tokens, sides and tokens of a blob of rows."""
+    token = unpack(data, 1, 8)[0]
+    group, n, size, side = unpack(data, 4, 24 + 3 * len(token))
+    return [group, n.astype(np.int32), size.astype(np.int32), side.astype(np.uint8), token.astype(np.uint32)]
 
 
 def pack_records(ids, cls, n, group, bits) -> bytes:
@@ -350,7 +409,8 @@ def _grouped(batches) -> Iterator[tuple[int, list[bytes]]]:
 
 
 def _met(t: float, buckets: int, wide: int):
-    """Joins the entries of each bucket: blobs of group pairs with the tokens they share there. Records of classes pass through."""
+    """Joins the rows of each part: blobs of group pairs with the twos of tokens they share there. Records of classes pass through."""
+    first_class = _first_class(t)
 
     def run(batches):
         # pairs are held over the buckets of a task, so that blobs are as long with many small buckets
@@ -359,27 +419,71 @@ def _met(t: float, buckets: int, wide: int):
             if key < 0:
                 yield from _batches((key, d) for d in blobs)
                 continue
-            parts = [unpack(d, 5) for d in blobs]
-            token = np.concatenate([np.cumsum(p[0]) for p in parts])
-            group, place, n, side = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in range(1, 5))
-            # groups of one name may differ in size: the smaller size asks for less
-            order = np.lexsort((n, group))
-            lead = order[np.concatenate([[True], group[order][1:] != group[order][:-1]])]
-            names, sizes = group[lead], n[lead]
-            for a, b, c in K.prefix_pairs(token, n, group, place, t, SHARED, CHUNK, side):
-                # two sets of `total` shingles together may share fewer than SHARED at the threshold
-                need = np.minimum(SHARED, K.least_common(sizes[np.searchsorted(names, a)] + sizes[np.searchsorted(names, b)], t))
-                held.append((np.minimum(a, b), np.maximum(a, b), np.minimum(c, SHARED) + 16 * need))
-                size += len(a)
-                if size > CHUNK:
-                    yield from _batches(_pair_blobs(held, buckets, wide))
-                    held, size = [], 0
+            parts: dict[int, list[bytes]] = {}
+            for d in blobs:
+                parts.setdefault(int(np.frombuffer(d, np.uint64, 1)[0]), []).append(d)
+            del blobs
+            for part in sorted(parts):
+                c = part >> _CLASS
+                group, n, members, side, token = _once(*(np.concatenate(x) for x in zip(*map(unpack_entries, parts.pop(part)))))
+                for two, row, again in _twos(token, members, c):
+                    for a, b, seen in K.prefix_pairs(two, n[row], row, again, t, SHARED, CHUNK, side[row]):
+                        ok = (group[a] != group[b]) & (_classes_of(np.minimum(n[a], n[b]), first_class) == c)
+                        a, b, seen = a[ok], b[ok], seen[ok]
+                        # two sets of `total` shingles together may share fewer than SHARED at the threshold
+                        need = np.minimum(SHARED, K.least_common(n[a].astype(np.int64) + n[b], t))
+                        x, y = group[a].view(np.int64), group[b].view(np.int64)
+                        held.append((np.minimum(x, y), np.maximum(x, y), np.minimum(seen, SHARED) + 16 * need))
+                        size += len(a)
+                        if size > CHUNK:
+                            yield from _batches(_pair_blobs(held, buckets, wide))
+                            held, size = [], 0
         if size:
             yield from _batches(_pair_blobs(held, buckets, wide))
 
     return run
 
 
+def _once(group, n, size, side, token):
+    """The rows without those that several tasks have sent."""
+    with np.errstate(over="ignore"):
+        name = K.mix(group) + (n.astype(np.uint64) << _U(2)) + side
+        if len(token):
+            name = K.mix(name) + np.add.reduceat(K.mix(token.astype(np.uint64)), K.starts(size))
+    rows = np.sort(np.unique(name, return_index=True)[1])
+    if len(rows) == len(group):
+        return group, n, size, side, token
+    return group[rows], n[rows], size[rows], side[rows], token[_members(size, rows)]
+
+
+def _twos(token, size, c: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Names of the twos of tokens (in class 0 the tokens) that stand in several rows, their rows, and 1 for one that its row has already had."""
+    row = np.repeat(np.arange(len(size)), size)
+    left = np.repeat(K.starts(size) + size, size) - np.arange(len(token)) - 1
+    low = max(1, len(size).bit_length())
+    sized = size.astype(np.int64)
+    rounds = int(-(-(len(token) if c == 0 else (sized * (sized - 1) // 2).sum()) // TWOS)) or 1
+    turn = K.mix(token.astype(np.uint64)) % _U(rounds)
+    for r in range(rounds):
+        i = np.flatnonzero(turn == r)
+        got = []
+        for d in (0,) if c == 0 else range(1, int(size.max(initial=0))):
+            i = i[left[i] >= d]
+            with np.errstate(over="ignore"):
+                name = K.mix((token[i].astype(np.uint64) << _U(_SHORT)) | token[i + d])
+            got.append(((name >> _U(low)) << _U(low)) | row[i].astype(np.uint64))
+        if not got:
+            continue
+        full = np.concatenate(got)
+        full.sort()
+        name = full >> _U(low)
+        same = name[1:] == name[:-1]
+        at = np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]])) if len(full) else []
+        if len(at):
+            again = np.concatenate([[0], full[at][1:] == full[at][:-1]]).astype(np.int64)
+            yield name[at], (full[at] & _U((1 << low) - 1)).astype(np.int64), again
+
+
 def _pair_blobs(held: list[tuple], buckets: int, wide: int) -> Iterator[tuple[int, bytes]]:
     a, b, x = (np.concatenate(y) for y in zip(*held))
     with np.errstate(over="ignore"):

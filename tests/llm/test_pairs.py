@@ -97,6 +97,46 @@ def test_bytes_sent_do_not_grow_with_the_buckets():
     assert sent[1500] < 1.2 * sent[8] < 1.2 * 1500 * 1600
 
 
+def test_chance_pairs_are_not_shuffled():
+    """Texts of few words share a rare shingle now and then; what is put out for that must stay far below one pair for each."""
+    r = random.Random(4)
+    texts = [" ".join(r.choices([f"w{i}" for i in range(40)], k=220)) for _ in range(3000)]
+    flat, words = K.word_hashes(texts, K.WordHashes())
+    key, _ = K.shingle_sets(flat, words, 3)
+
+    class Shared:
+        value = K.quantised(np.bincount(K.bucket_of(key), minlength=1 << K.SKETCH_BITS))
+
+    def rows(f, blobs):
+        blobs = sorted(blobs, key=lambda x: x[0])
+        b = pa.RecordBatch.from_arrays([pa.array([x[0] for x in blobs], pa.int32()), pa.array([x[1] for x in blobs], pa.binary())], ["bucket", "data"])
+        return [(k, x.as_py()) for b in f(iter([b])) for k, x in zip(b.column(0).to_pylist(), b.column(1))]
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    sent = [(k, x.as_py()) for b in neardup._prefixes(Shared, 32, 3, 0.5, neardup.HOT)(iter([batch])) for k, x in zip(b.column(0).to_pylist(), b.column(1))]
+    met = rows(neardup._met(0.5, 8, 6), sent)
+    assert sum(len(neardup.unpack(x, 3)[0]) for k, x in met if k >= 0) < 0.02 * len(texts) ** 2 / 2
+
+
+@pytest.mark.parametrize("t", [0.5, 0.8])
+def test_texts_of_all_sizes(spark, t):
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(300)]
+    texts = []
+    for n in (3, 8, 17, 18, 31, 33, 64, 130, 140, 257, 400, 900):
+        base = r.choices(words, k=n)
+        texts.append(base)
+        for _ in range(6):
+            w = list(base)
+            for _ in range(r.randint(0, int(n * (1 - t) / 3))):
+                w[r.randrange(n)] = r.choice(words)
+            texts.append(w[: n - r.randint(0, int(n * (1 - t)))])
+    texts = [" ".join(w) for w in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "row_seq long, article_text string").repartition(4)
+    want = brute(texts, t, 3)
+    assert len(want) > 60 and {(x.a, x.b) for x in neardup.near_duplicate_pairs(df, "row_seq", "article_text", t, 3).records().collect()} == want
+
+
 def test_no_rows(spark):
     df = spark.createDataFrame([], "row_seq long, article_text string")
     p = neardup.near_duplicate_pairs(df, "row_seq", "article_text")
