@@ -61,6 +61,27 @@ def test_counts_of_any_vocabulary(spark, small, monkeypatch):
         assert len(a & b) >= 0.97 * len(a | b)
 
 
+def test_every_word_counts_exactly(spark, small, monkeypatch):
+    # words that are not held by a task are candidates like any other, with their own counts
+    t = queries._texts(spark, small)
+    text = t["raw_news"].union(t["cleaned_articles"]).select("text")
+    rare = "Přibyslavská dvacetihaléřová"
+    text = text.union(spark.createDataFrame([(rare,)] * 6, "text string"))
+    bad = spark.createDataFrame([(1, latin(rare)), (2, rare.replace("ř", "\ufffd", 1)), (3, latin(rare).replace("\x99", "\ufffd"))], "row_seq long, text string")
+    texts = t["raw_news"].union(bad)
+    found = []
+    for limit in (counts.HEAD, 400):
+        monkeypatch.setattr(counts, "HEAD", limit)
+        m = encoding.fit(text, "text")
+        found.append((m, {tuple(r) for r in encoding.restored(texts, "row_seq", "text", m).collect()}, {r[0] for r in encoding.garbled_rows(texts, "row_seq", "text", m).collect()}))
+    (a, *x), (b, *y) = found
+    assert x == y and a.total == b.total
+    assert a.words is None and len(b.counts) <= 400 < len(b.words) and a.longest == b.longest
+    assert a.chars.keys() == b.chars.keys() and all(abs(a.chars[g] - b.chars[g]) < 1e-6 * a.chars[g] for g in a.chars)
+    assert all((n or 0) == b.words.get(w) for w, n in a.counts.items()) and all(b.masked.get(m) == w for m, w in a.masked.items())
+    assert (1, rare, 1, 0) in x[0] and b.masked.get("xyz\ufffd") is None
+
+
 def test_both_models_from_one_scan(spark, small):
     t = queries._labelled(spark, small)
     model, channel = language.fit_both(list(t.values()))
