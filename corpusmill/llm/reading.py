@@ -6,7 +6,8 @@ all languages alike, and trigrams of the letters of words. A document's surprisa
 features: the mean under each level's models, the levels that these speak for, and mean, spread and quantiles of the
 surprisal under the model of all levels. Ridge regression on the labels makes one index of difficulty of them, fitted on
 documents that the models had not seen, and isotonic regression maps the index to the scale.
-The models are fitted on a bounded sample of labelled documents (FIT_DOCUMENTS); every document is scored as a whole.
+The models, the regression and the isotonic fit are those of all labelled documents; only counts and sums of fixed size leave
+the tasks. Every document is scored as a whole.
 """
 
 from __future__ import annotations
@@ -22,10 +23,9 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm import kernels as K
 from corpusmill.llm.kernels import SLICE
+from corpusmill.llm.neardup import needed_rows
 from corpusmill.session import materialise
 
-#: Labelled documents that the models are fitted on: those of the smallest hashed ids.
-FIT_DOCUMENTS = 4000
 LEVELS = 5
 #: Chance that a rater is one level off, on either side together.
 SLIP = 0.1
@@ -39,7 +39,10 @@ QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
 RIDGE = 1.0
 #: Characters that are taken at once.
 CHARACTERS = 1 << 20
+#: Letter triples that a task counts before it hands them on.
+TRIPLES = 1 << 18
 _TRIPLES, _PAIRS = 18, 15
+_WEIGHTS = [f"w{i}" for i in range(2 * LEVELS)]
 _U = np.uint64
 
 _TOKEN = re.compile(r"(?<![^\W_])[^\W\d_]\.(?=\s?[^\W\d_])|[^\W\d_]+|\d+|[.!?…;/|•·]+|[,:]|[–—]|\n")
@@ -228,15 +231,50 @@ class Model:
         return np.interp(index, self.x, self.y)
 
 
-def regression(features: np.ndarray, y: np.ndarray, w: np.ndarray, m: Models) -> Model:
-    """Ridge regression of the labels on standardised features and the isotonic fit of its index; a feature that is missing is as usual."""
-    middle = np.nanmean(np.vstack([features, np.zeros((1, features.shape[1]))[: int(np.isnan(features).all(axis=0).any())]]), axis=0)
-    scale = np.nanstd(np.vstack([features, middle[None]]), axis=0) + 1e-9
-    z = (features - middle) / scale
-    z = np.column_stack([np.where(np.isnan(z), 0, z), np.ones(len(z))])
-    prior = np.diag([RIDGE] * (z.shape[1] - 1) + [1e-9])
-    out = Model(m, middle, scale, np.linalg.solve((z * w[:, None]).T @ z + prior, (z * w[:, None]).T @ y), np.zeros(1), np.zeros(1))
-    out.x, out.y = isotonic(out.index(features), y, w)
+def regression(features: DataFrame, m: Models) -> Model:
+    """Ridge regression of the labels on standardised features and the isotonic fit of its index; a feature that is missing is as usual.
+
+    `features` has a row (x, y, w) for each labelled document: features, label and weight.
+    """
+
+    def sums(f):
+        def run(batches):
+            total = 0
+            for b in batches:
+                if b.num_rows:
+                    x = np.array(b.column(0).to_pylist(), np.float64)
+                    total = total + f(x, b.column(1).to_numpy(), b.column(2).to_numpy())
+            if not np.isscalar(total):
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["s"])
+
+        parts = [np.frombuffer(r.s) for r in features.mapInArrow(run, "s binary").toLocalIterator()]
+        return np.sum(parts, axis=0)
+
+    n, total = sums(lambda x, y, w: np.stack([(~np.isnan(x)).sum(axis=0), np.nansum(x, axis=0)]).astype(np.float64)).reshape(2, -1)
+    middle = np.where(n > 0, total / np.maximum(n, 1), 0)
+    # one more row that is as usual
+    scale = np.sqrt(sums(lambda x, y, w: np.nansum((x - middle) ** 2, axis=0)) / (n + 1)) + 1e-9
+
+    def products(x, y, w):
+        z = (x - middle) / scale
+        z = np.column_stack([np.where(np.isnan(z), 0, z), np.ones(len(z))])
+        return np.column_stack([(z * w[:, None]).T @ z, (z * w[:, None]).T @ y])
+
+    both = sums(products).reshape(len(middle) + 1, -1)
+    prior = np.diag([RIDGE] * len(middle) + [1e-9])
+    out = Model(m, middle, scale, np.linalg.solve(both[:, :-1] + prior, both[:, -1]), np.zeros(1), np.zeros(1))
+
+    def steps(batches):
+        for b in batches:
+            if b.num_rows:
+                at, group = np.unique(out.index(np.array(b.column(0).to_pylist(), np.float64)), return_inverse=True)
+                w = b.column(2).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.bincount(group, weights=b.column(1).to_numpy() * w)), pa.array(np.bincount(group, weights=w))], ["i", "yw", "w"])
+
+    # the index has three places, so the rows are few
+    rows = features.mapInArrow(steps, "i double, yw double, w double").groupBy("i").agg(F.sum("yw"), F.sum("w")).collect()
+    i, yw, w = np.array([tuple(r) for r in rows]).T
+    out.x, out.y = isotonic(i, yw / w, w)
     return out
 
 
@@ -290,8 +328,16 @@ def _read(batches):
 
 
 def _added(batches):
-    """Counts of the cells and triples by fold and level, weighted by the chance of the level; one row a task."""
-    dense, triple, weight = np.zeros((2, LEVELS, CELLS)), [], []
+    """Counts of the cells and triples by fold and level, weighted by the chance of the level: one row a task for the cells, one for each triple."""
+    dense, triple, weight, size = np.zeros((2, LEVELS, CELLS)), [], [], 0
+
+    def counted():
+        names, inverse = np.unique(np.concatenate(triple), return_inverse=True)
+        return names, np.stack([np.bincount(inverse, weights=x, minlength=len(names)) for x in np.concatenate(weight, axis=1)])
+
+    def rows(names, total):
+        return pa.RecordBatch.from_arrays([pa.nulls(len(names), pa.binary()), pa.array(names.view(np.int64)), *map(pa.array, total)], ["cells", "triple", *_WEIGHTS])
+
     for fold, ratings, c, n, t, m in _read(batches):
         w = beliefs(ratings)
         of, at = np.repeat(np.arange(len(n)), n), np.repeat(np.arange(len(m)), m)
@@ -301,15 +347,21 @@ def _added(batches):
         names, inverse = np.unique(t, return_inverse=True)
         triple.append(names)
         weight.append(np.stack([np.bincount(inverse, weights=(w[:, l] * (fold == f))[at], minlength=len(names)) for f in (0, 1) for l in range(LEVELS)]))
+        size += len(names)
+        if size > TRIPLES:
+            names, total = counted()
+            triple, weight, size = [names], [total], len(names)
+            if size > TRIPLES // 2:
+                yield rows(names, total)
+                triple, weight, size = [], [], 0
     if triple:
-        names, inverse = np.unique(np.concatenate(triple), return_inverse=True)
-        both = np.concatenate(weight, axis=1)
-        total = np.stack([np.bincount(inverse, weights=x, minlength=len(names)) for x in both])
-        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (dense, names, total)], ["cells", "triples", "weights"])
+        yield rows(*counted())
+    if dense.any():
+        yield pa.RecordBatch.from_arrays([pa.array([dense.tobytes()], pa.binary()), pa.nulls(1, pa.int64()), *[pa.nulls(1, pa.float64())] * (2 * LEVELS)], ["cells", "triple", *_WEIGHTS])
 
 
-def fit_model(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", level: str = "reading_level", limit: int = FIT_DOCUMENTS) -> Model | None:
-    """A model from at most `limit` labelled documents; None if no labelled document has a token. The driver gets counts and features, no texts."""
+def fit_model(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", level: str = "reading_level") -> Model | None:
+    """A model from all labelled documents; None if none of them has a token. The driver gets counts and sums, no texts."""
     rated = (
         labels.select(F.col(doc_id).alias("d"), F.col(level).cast("int").alias("l"))
         .where(f"d is not null and l between 1 and {LEVELS}")
@@ -317,21 +369,24 @@ def fit_model(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
         # one count per level, so that many raters of one document stay small
         .agg(*[F.count_if(F.col("l") == k).alias(f"l{k}") for k in range(1, LEVELS + 1)])
     )
-    chosen = rated.orderBy(F.xxhash64("d"), "d").limit(limit)
-    t = docs.select(F.col(doc_id).alias("d"), F.col(text).cast("string").alias("t")).where("t is not null").join(F.broadcast(chosen), "d")
+    rated = materialise(rated, "rated")
+    t = docs.select(F.col(doc_id).alias("d"), F.col(text).cast("string").alias("t")).where("t is not null")
+    # only texts that may have a label are shuffled
+    t = needed_rows(t.withColumn("h", F.xxhash64("d")), rated.select(F.xxhash64("d").alias("h")), "h").drop("h").join(rated, "d")
     # rows repeated with the same id count once
     t = t.groupBy("d").agg(F.min("t").alias("t"), *[F.first(f"l{k}").alias(f"l{k}") for k in range(1, LEVELS + 1)])
     t = t.select(F.pmod(F.xxhash64("d"), F.lit(2)).cast("int").alias("fold"), "t", F.array(*[f"l{k}" for k in range(1, LEVELS + 1)]).cast("array<double>").alias("l"))
-    labelled = materialise(t, "labelled").coalesce(16)
-    names, weights, dense = np.zeros(0, np.uint64), np.zeros((2 * LEVELS, 0)), np.zeros((2, LEVELS, CELLS))
-    for r in labelled.mapInArrow(_added, "cells binary, triples binary, weights binary").toLocalIterator():
+    labelled = materialise(t, "labelled")
+    added = materialise(labelled.mapInArrow(_added, "cells binary, triple long, " + ", ".join(f"{w} double" for w in _WEIGHTS)), "counts")
+    dense = np.zeros((2, LEVELS, CELLS))
+    for r in added.where("cells is not null").select("cells").toLocalIterator():
         dense += np.frombuffer(r.cells).reshape(dense.shape)
-        here = np.frombuffer(r.triples, np.uint64)
-        names, inverse = np.unique(np.concatenate([names, here]), return_inverse=True)
-        both = np.concatenate([weights, np.frombuffer(r.weights).reshape(2 * LEVELS, len(here))], axis=1)
-        weights = np.stack([np.bincount(inverse, weights=x, minlength=len(names)) for x in both])
     if not dense.any():
         return None
+    table = added.where("cells is null").groupBy("triple").agg(*[F.sum(w).alias(w) for w in _WEIGHTS]).toArrow()
+    names = table.column("triple").to_numpy().view(np.uint64)
+    order = np.argsort(names)
+    names, weights = names[order], np.stack([table.column(w).to_numpy()[order] for w in _WEIGHTS])
     by_fold = weights.reshape(2, LEVELS, -1)
     full = models(dense.sum(axis=0), names, by_fold.sum(axis=0))
     # features from models that haven't seen the document, as far as there are any
@@ -343,11 +398,9 @@ def fit_model(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
             x = [u.features(c, n, t, m) for u in shared.value]
             x = np.where((fold == 0)[:, None], x[0], x[1])
             ok = n > 0
-            yield pa.RecordBatch.from_arrays([pa.array(list(x[ok]), pa.list_(pa.float64())), pa.array(list(ratings[ok]), pa.list_(pa.float64()))], ["x", "l"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(x[ok]), pa.list_(pa.float64())), pa.array((beliefs(ratings) @ np.arange(1, LEVELS + 1))[ok]), pa.array(ratings.sum(axis=1)[ok])], ["x", "y", "w"])
 
-    rows = labelled.mapInArrow(score, "x array<double>, l array<double>").collect()
-    x, ratings = np.array([r.x for r in rows], np.float64), np.array([r.l for r in rows], np.float64)
-    return regression(x, beliefs(ratings) @ np.arange(1, LEVELS + 1), ratings.sum(axis=1), full)
+    return regression(materialise(labelled.mapInArrow(score, "x array<double>, y double, w double"), "features"), full)
 
 
 def levels(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] = []) -> DataFrame:  # noqa: B006

@@ -106,6 +106,22 @@ def test_portions_of_texts():
     assert np.isfinite(reading._means(m.surprisals(np.arange(8, dtype=np.uint64) + np.uint64(4)), n)[[0, 2]]).all()
 
 
+def test_all_labelled_documents_are_fitted(spark):
+    # many more labels than any sample; two words in each level, so that one document says all
+    n = 6000
+    docs = [(i, " ".join(["ab" * (1 + 2 * (i % 5))] * (4 + i % 7)) + ".") for i in range(n)]
+    d = spark.createDataFrame([*docs, (None, "ab."), (n, None)], "doc_id long, text string").repartition(6)
+    l = spark.createDataFrame([(i, 1 + i % 5) for i in range(n)], "doc_id long, reading_level int")
+    m = reading.fit_model(d, l)
+    table, cache = reading._letter_table(), reading._Classes()
+    tokens = sum(len(reading._TOKEN.findall(t)) for _, t in docs)
+    counted = reading.triples([t for _, t in docs], table)[1].sum()
+    assert tokens == reading.cells([t for _, t in docs], cache)[1].sum()
+    assert np.isclose(m.models.letters.pairs.sum(), counted, rtol=1e-3)
+    got = {r.doc_id: r.level for r in reading.levels(d, l).where("doc_id is not null").collect()}
+    assert [got[i] for i in range(n)] == [1 + i % 5 for i in range(n)] and got[n] is None
+
+
 def test_passages_are_found_in_texts_of_any_length():
     words = {k: [f"{l}{i}" for i in range(50)] for k, l in (("hu", "h"), ("fr", "f"))}
     counted = [(w, [100.0 if l == k else 0.0 for l in language.LANGUAGES]) for k, ws in words.items() for w in ws]
